@@ -5,6 +5,8 @@ Both forms use integer arithmetic only, so the two engines agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,16 @@ ERA_GAP_DAYS = 30
 DOMAIN_TYPES = {"procedure": [2], "condition": [3, 5], "drug": [1, 4, 6]}
 
 
-def retail_cdm(spark: SparkSession, sf_dir: str) -> Cdm:
+def retail_cdm(
+    spark: SparkSession,
+    sf_dir: str,
+    stage: Callable[[str, Callable[[], DataFrame], list[str]], DataFrame] | None = None,
+) -> Cdm:
+    """``stage`` stores what a patient-event store would hold ready: records, eras, periods."""
+
+    def staged(name: str, build: Callable[[], DataFrame], by: list[str]) -> DataFrame:
+        return build() if stage is None else stage(name, build, by)
+
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,7 +43,7 @@ def retail_cdm(spark: SparkSession, sf_dir: str) -> Cdm:
             (10000 + 100 * kind + brand).cast("long").alias("brand_id"),
         )
 
-    def base(types: list[int]) -> DataFrame:
+    def records() -> DataFrame:
         lines = read("lineitem").select(
             "l_orderkey",
             "l_linenumber",
@@ -45,10 +56,9 @@ def retail_cdm(spark: SparkSession, sf_dir: str) -> Cdm:
             ).alias("end_date"),
             F.when(F.col("l_linestatus") == "F", 38000184).otherwise(38000230).alias("type_id"),
         )
-        chosen = parts().filter(F.col("t").isin(types))
         orders = read("orders").select("o_orderkey", "o_custkey")
         keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-        joined = lines.join(chosen, F.col("l_partkey") == F.col("p_partkey")).join(
+        joined = lines.join(parts(), F.col("l_partkey") == F.col("p_partkey")).join(
             orders, F.col("l_orderkey") == F.col("o_orderkey")
         )
         return (
@@ -77,6 +87,9 @@ def retail_cdm(spark: SparkSession, sf_dir: str) -> Cdm:
             )
         )
 
+    def base(types: list[int]) -> DataFrame:
+        return staged("records", records, ["t"]).filter(F.col("t").isin(types))
+
     def eras(domain: str) -> DataFrame:
         # One row per person, brand and day first: the window then holds calendar days only.
         days = (
@@ -154,7 +167,7 @@ def retail_cdm(spark: SparkSession, sf_dir: str) -> Cdm:
             F.when(key % 5 == 0, 38003563).otherwise(38003564).alias("ethnicity_concept_id"),
         )
 
-    def observation_period() -> DataFrame:
+    def observed() -> DataFrame:
         return (
             base(list(TYPES.values()))
             .groupBy("person_id")
@@ -164,6 +177,9 @@ def retail_cdm(spark: SparkSession, sf_dir: str) -> Cdm:
             )
         )
 
+    def observation_period() -> DataFrame:
+        return staged("observation_period", observed, [])
+
     def death() -> DataFrame:
         return (
             observation_period()
@@ -262,8 +278,8 @@ def retail_cdm(spark: SparkSession, sf_dir: str) -> Cdm:
         "specimen": specimen,
         "observation": observation,
         "measurement": measurement,
-        "condition_era": lambda: eras("condition"),
-        "drug_era": lambda: eras("drug"),
+        "condition_era": lambda: staged("condition_era", lambda: eras("condition"), []),
+        "drug_era": lambda: staged("drug_era", lambda: eras("drug"), []),
     }
     return Cdm(lambda table: builders[table]())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from checks.registry import VIEWS, Study
 from pyspark.sql import DataFrame
@@ -154,16 +155,12 @@ def build(study: Study, cohort_id: int) -> DataFrame:
 
 
 def cohorts(study: Study) -> DataFrame:
-    """The filled cohort table the later steps read: arms and outcomes."""
-
-    def fill(s: Study) -> DataFrame:
-        out = None
-        for cohort_id in DEFINITIONS:
-            rows = build(s, cohort_id)
-            out = rows if out is None else out.unionByName(rows)
-        return out
-
-    return study.stage("cohorts", fill)
+    """The filled cohort table the later steps read: arms and outcomes, one stage per cohort."""
+    parts = [
+        study.stage(f"cohort_{cohort_id}", lambda s, c=cohort_id: build(s, c))
+        for cohort_id in DEFINITIONS
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def arms(study: Study) -> DataFrame:

@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from checks.adapter import CDM_VIEWS, retail_cdm
-from twinarm.session import cut, tune
+from twinarm.session import scratch_folder, tune
 from twinarm.sources.cdm import Cdm
 
 VIEWS: dict[str, str] = dict(CDM_VIEWS)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _STAGES: dict[tuple, DataFrame] = {}
+_STUDIES: dict[tuple, Study] = {}
 
 
 class Study:
@@ -23,21 +24,38 @@ class Study:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
         self.sf_dir = sf_dir
-        self.cdm: Cdm = retail_cdm(spark, sf_dir)
+        self.cdm: Cdm = retail_cdm(spark, sf_dir, self._store)
 
-    def stage(self, name: str, build: Callable[[Study], DataFrame]) -> DataFrame:
-        """A stage table, written once per application as the original stores its artefacts."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+    def _store(
+        self, name: str, build: Callable[[], DataFrame], by: list[str] | None = None
+    ) -> DataFrame:
+        application = self.spark.sparkContext.applicationId
+        key = (application, self.sf_dir, name)
         if key not in _STAGES:
-            _STAGES[key] = cut(build(self))
+            scale = self.sf_dir.rstrip("/").rsplit("/", 1)[-1]
+            path = f"{scratch_folder(self.spark)}/stages/{application}/{scale}/{name}"
+            build().write.mode("overwrite").partitionBy(*(by or [])).parquet(path)
+            _STAGES[key] = self.spark.read.parquet(path)
         return _STAGES[key]
 
+    def stage(self, name: str, build: Callable[[Study], DataFrame]) -> DataFrame:
+        """A stage table, written once per application as the original stores its artefacts."""
+        return self._store(name, lambda: build(self))
+
+
+def study_for(spark: SparkSession, sf_dir: str) -> Study:
+    """One ``Study`` per application and scale directory."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STUDIES:
+        _STUDIES[key] = Study(spark, sf_dir)
+    return _STUDIES[key]
+
 
 def query(name: str, sql: str | None = None):
     """Register a query; ``sql`` may use any view of ``VIEWS`` as if it were a table."""
 
     def register(fn: Callable[[Study], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Study(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(study_for(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -62,4 +80,7 @@ def expand(sql: str) -> str:
     views = ",\n".join(
         f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in names if name in needed
     )
+    recursive = re.match(r"\s*WITH RECURSIVE\b", sql)
+    if recursive:
+        return f"WITH RECURSIVE {views},\n{sql[recursive.end():]}"
     return f"WITH {views}\n{sql}"
