@@ -81,15 +81,16 @@ def fits_sql(source):
 
 def summary_sql(matched, fits):
     return f"""
-    SELECT '1' AS analysis_id, {MODEL_SQL},
-           count(*) FILTER (treatment = 1) AS treated,
-           count(*) FILTER (treatment = 0) AS comparator,
-           coalesce(sum(survival_time) FILTER (treatment = 1), 0) AS treated_days,
-           coalesce(sum(survival_time) FILTER (treatment = 0), 0) AS comparator_days,
-           count(*) FILTER (treatment = 1 AND outcome_count > 0) AS events_treated,
-           count(*) FILTER (treatment = 0 AND outcome_count > 0) AS events_comparator,
-           any_value(f.log_rr) AS log_rr, any_value(f.se_log_rr) AS se_log_rr
-    FROM {matched} LEFT JOIN {fits} f USING ({MODEL_SQL}) GROUP BY {MODEL_SQL}"""
+    SELECT '1' AS analysis_id, t.*, f.log_rr, f.se_log_rr
+    FROM (SELECT {MODEL_SQL},
+                 sum(treatment) AS treated, sum(1 - treatment) AS comparator,
+                 sum(treatment * survival_time) AS treated_days,
+                 sum((1 - treatment) * survival_time) AS comparator_days,
+                 sum(CASE WHEN outcome_count > 0 THEN treatment ELSE 0 END) AS events_treated,
+                 sum(CASE WHEN outcome_count > 0 THEN 1 - treatment ELSE 0 END)
+                     AS events_comparator
+          FROM {matched} GROUP BY {MODEL_SQL}) t
+    LEFT JOIN {fits} f USING ({MODEL_SQL})"""
 
 
 VIEWS["control_scored"] = SCORE_SQL.format(source="control_population")
