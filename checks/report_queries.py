@@ -200,7 +200,8 @@ NULLS = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in T.VALUE_COLUMNS)
 POSITION_SQL = "CASE label " + " ".join(f"WHEN '{s.label}' THEN {s.position}" for s in SPECS)
 VIEWS["table_one"] = f"""
     SELECT {MODEL_SQL}, {POSITION_SQL} END AS position, line, characteristic,
-           {", ".join(f"round({c}, 2) AS {c}" for c in T.VALUE_COLUMNS)}
+           {", ".join(f"CAST(round(CAST({c} AS DECIMAL(28, 12)), 2) AS DOUBLE) AS {c}"
+                       for c in T.VALUE_COLUMNS)}
     FROM (SELECT * FROM continuous_lines UNION ALL BY NAME SELECT * FROM categorical_lines
           UNION ALL BY NAME SELECT * FROM count_lines
           UNION ALL BY NAME SELECT DISTINCT {MODEL_SQL}, label, 0 AS line,

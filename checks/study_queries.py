@@ -219,7 +219,9 @@ def full_population(study):
 def propensity(study):
     """L1 logistic scores of one model; numerics of the solver are not comparable in SQL."""
     mine = population(study).filter("target_id = 1 and outcome_id = 11")
-    return PS.propensity(mine, covariates(study), variances=(0.01, 0.1), folds=2).select(
+    return PS.propensity(
+        mine, covariates(study), variances=(0.01, 0.1), folds=2, max_iter=25, tolerance=1e-5
+    ).select(
         *MODEL, *P.ROW, F.round("ps", 4).alias("ps")
     )
 

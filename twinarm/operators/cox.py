@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,148 +55,217 @@ def cox_pairs(matched: DataFrame, keys: list[str] = MODEL) -> DataFrame:
     )
 
 
+@dataclass
+class _Fit:
+    """Driver-side state of one model: its coefficients and where the descent stands."""
+
+    beta: dict[int, float] = field(default_factory=dict)
+    trial: dict[int, float] = field(default_factory=dict)
+    gradient: dict[int, float] = field(default_factory=dict)
+    loss: float = 0.0
+    information: float = 0.0
+    step: float = 1.0
+    done: bool = False
+
+    def propose(self, l1: float) -> None:
+        self.trial = {}
+        for k, g in self.gradient.items():
+            moved = self.beta.get(k, 0.0) - self.step * g
+            if k != TREATMENT:
+                moved = math.copysign(max(abs(moved) - self.step * l1, 0.0), moved)
+            self.trial[k] = moved
+
+    def settle(
+        self, loss: float, gradient: dict[int, float], information: float, l1: float, tolerance: float
+    ) -> None:
+        """Accept the trial if it descends enough, else halve the step."""
+        shift = {k: v - self.beta.get(k, 0.0) for k, v in self.trial.items()}
+        length = sum(d * d for d in shift.values())
+        bound = (
+            self.loss
+            + sum(self.gradient[k] * d for k, d in shift.items())
+            + length / (2.0 * self.step)
+        )
+        if loss > bound + LOSS_SLACK and self.step > 1e-12:
+            self.step /= 2.0
+            return
+        change = (self.loss + _penalty(self.beta, l1)) - (loss + _penalty(self.trial, l1))
+        bend = sum((gradient[k] - self.gradient[k]) * d for k, d in shift.items())
+        self.beta, self.loss = self.trial, loss
+        self.gradient, self.information = gradient, information
+        self.done = change < tolerance * (1.0 + abs(loss))
+        # Next step length from the curvature along the last move.
+        self.step = length / bend if bend > 0 else self.step * 2.0
+
+
+def _penalty(beta: dict[int, float], l1: float) -> float:
+    return l1 * sum(abs(v) for k, v in beta.items() if k != TREATMENT)
+
+
 def _long_covariates(rows: DataFrame, covariates: DataFrame | None) -> DataFrame:
-    keys = ["row_key", "covariate_id", "covariate_value"]
+    keys = [*MODEL, "row_key", "covariate_id", "covariate_value"]
     treatment = rows.filter("treatment = 1").select(
-        "row_key", F.lit(TREATMENT).cast("long").alias("covariate_id"),
+        *MODEL,
+        "row_key",
+        F.lit(TREATMENT).cast("long").alias("covariate_id"),
         F.lit(1.0).alias("covariate_value"),
     )
     if covariates is None:
         return treatment
-    own = entry_of(rows).select("row_key", *ENTRY).join(covariates, ENTRY).select(*keys)
+    own = entry_of(rows).select(*MODEL, "row_key", *ENTRY).join(covariates, ENTRY).select(*keys)
     return treatment.unionByName(own)
 
 
 def _evaluate(
-    spark: SparkSession, rows: DataFrame, long: DataFrame, beta: dict[int, float]
-) -> tuple[float, dict[int, float], float]:
-    """Negative log partial likelihood, its gradient, and the information on treatment.
+    spark: SparkSession,
+    rows: DataFrame,
+    long: DataFrame,
+    betas: dict[tuple, dict[int, float]],
+) -> dict[tuple, dict[str, float | dict[int, float]]]:
+    """Log risk sum, score residual sums and information on treatment, per model, in one job.
 
     Risk sets are summed per stratum and day before they accumulate, so a window holds at most the
     days of one stratum.
     """
-    moved = {k: b for k, b in beta.items() if b != 0.0}
+    moved = [(*m, k, b) for m, beta in betas.items() for k, b in beta.items() if b != 0.0]
+    active = spark.createDataFrame(
+        list(betas), "target_id long, comparator_id long, outcome_id long"
+    )
+    rows = rows.join(F.broadcast(active), MODEL, "left_semi")
+    scored = rows.withColumn("eta", F.lit(0.0))
     if moved:
         weights = small_side(
-            spark.createDataFrame(list(moved.items()), "covariate_id long, beta double")
+            spark.createDataFrame(
+                moved,
+                "target_id long, comparator_id long, outcome_id long, covariate_id long, beta double",
+            )
         )
         eta = (
-            long.join(weights, "covariate_id")
-            .groupBy("row_key")
-            .agg(F.sum(F.col("covariate_value") * F.col("beta")).alias("eta"))
+            long.join(weights, [*MODEL, "covariate_id"])
+            .groupBy(*MODEL, "row_key")
+            .agg(F.sum(F.col("covariate_value") * F.col("beta")).alias("sum_eta"))
+        )
+        scored = (
+            rows.join(eta, [*MODEL, "row_key"], "left")
+            .withColumn("eta", F.coalesce("sum_eta", F.lit(0.0)))
+            .drop("sum_eta")
         )
-        scored = rows.join(eta, "row_key", "left").withColumn("eta", F.coalesce("eta", F.lit(0.0)))
-    else:
-        scored = rows.withColumn("eta", F.lit(0.0))
-    w = F.exp("eta")
-    scored = cut(scored.withColumn("w", w))
-    days = scored.groupBy("stratum_id", "survival_time").agg(
-        F.sum("w").alias("w"),
-        F.sum(F.col("w") * F.col("treatment")).alias("wt"),
+    scored = scored.withColumn("w", F.exp("eta"))
+    place = [*MODEL, "stratum_id"]
+    days = scored.groupBy(*place, "survival_time").agg(
+        F.sum("w").alias("day_w"),
+        F.sum(F.col("w") * F.col("treatment")).alias("day_wt"),
         F.sum("event").alias("d"),
     )
-    later = Window.partitionBy("stratum_id").orderBy(F.col("survival_time").desc())
-    earlier = Window.partitionBy("stratum_id").orderBy("survival_time")
-    risk = days.withColumn("at_risk", F.sum("w").over(later)).withColumn(
-        "treated_at_risk", F.sum("wt").over(later)
-    )
-    risk = risk.withColumn(
-        "hazard", F.sum(F.col("d") / F.col("at_risk")).over(earlier)
+    later = Window.partitionBy(*place).orderBy(F.col("survival_time").desc())
+    earlier = Window.partitionBy(*place).orderBy("survival_time")
+    risk = days.withColumn("at_risk", F.sum("day_w").over(later)).withColumn(
+        "treated_at_risk", F.sum("day_wt").over(later)
     )
+    risk = risk.withColumn("hazard", F.sum(F.col("d") / F.col("at_risk")).over(earlier))
     share = F.col("treated_at_risk") / F.col("at_risk")
-    totals = risk.agg(
-        F.sum(F.col("d") * F.log("at_risk")).alias("log_risk"),
+    totals = risk.groupBy(*MODEL).agg(
+        F.sum(F.col("d") * F.log("at_risk")).alias("value"),
         F.sum(F.col("d") * share * (1.0 - share)).alias("information"),
     )
-    sums = totals.first()
-    linear = scored.agg(F.sum(F.col("event") * F.col("eta")).alias("linear")).first().linear
     residuals = scored.join(
-        risk.select("stratum_id", "survival_time", "hazard"), ["stratum_id", "survival_time"]
-    ).select("row_key", (F.col("event") - F.col("w") * F.col("hazard")).alias("residual"))
+        risk.select(*place, "survival_time", "hazard"), [*place, "survival_time"]
+    ).select(*MODEL, "row_key", (F.col("event") - F.col("w") * F.col("hazard")).alias("residual"))
     slopes = (
-        long.join(residuals, "row_key")
-        .groupBy("covariate_id")
-        .agg(F.sum(F.col("covariate_value") * F.col("residual")).alias("slope"))
-        .collect()
+        long.join(residuals, [*MODEL, "row_key"])
+        .groupBy(*MODEL, "covariate_id")
+        .agg(F.sum(F.col("covariate_value") * F.col("residual")).alias("value"))
+        .withColumn("information", F.lit(None).cast("double"))
     )
-    gradient = {r.covariate_id: -r.slope for r in slopes}
-    loss = (sums.log_risk or 0.0) - (linear or 0.0)
-    return loss, gradient, sums.information or 0.0
+    found = totals.withColumn("covariate_id", F.lit(None).cast("long")).unionByName(slopes)
+    out = {m: {"log_risk": 0.0, "information": 0.0, "gradient": {}} for m in betas}
+    for r in found.collect():
+        model = out[tuple(r[k] for k in MODEL)]
+        if r.covariate_id is None:
+            model["log_risk"], model["information"] = r.value or 0.0, r.information or 0.0
+        else:
+            model["gradient"][r.covariate_id] = -r.value
+    return out
 
 
 def cox(
     matched: DataFrame,
     covariates: DataFrame | None = None,
     l1: float = 1.0,
-    max_iter: int = 50,
+    max_iter: int = 100,
     tolerance: float = 1e-6,
     max_covariates: int = 100_000,
-) -> tuple[dict[int, float], float | None]:
-    """Coefficients and the standard error on treatment of one stratified Cox model.
+) -> dict[tuple, tuple[dict[int, float], float | None]]:
+    """Coefficients and standard error on treatment of every model of the grid.
 
-    L1-penalised proximal gradient with a backtracked step; the treatment coefficient (covariate
-    id 0) is not penalised. The driver holds the coefficients only, and their number is checked.
-    The standard error comes from the information on treatment with the other coefficients fixed.
+    Cox models stratified on matched sets, fitted together by L1-penalised proximal gradient with a
+    backtracked step; the treatment coefficient (covariate id 0) is not penalised. Each iteration is
+    one Spark job for all models still moving. The driver holds coefficients only, and their number
+    is checked. The standard error comes from the information on treatment with the other
+    coefficients held fixed.
     """
     spark = matched.sparkSession
     rows = cut(
-        matched.withColumn("event", F.when(F.col("outcome_count") > 0, 1).otherwise(0)).withColumn(
-            "row_key", F.concat_ws("|", *ROW)
+        matched.select(
+            *MODEL,
+            *ROW,
+            "stratum_id",
+            "survival_time",
+            F.when(F.col("outcome_count") > 0, 1).otherwise(0).alias("event"),
+            F.concat_ws("|", *ROW).alias("row_key"),
         )
     )
     long = cut(_long_covariates(rows, covariates))
-    width = long.select("covariate_id").distinct().count()
+    # Events carried by each covariate: the linear part of the likelihood is their weighted sum.
+    carried = (
+        long.join(rows.filter("event = 1").select(*MODEL, "row_key"), [*MODEL, "row_key"], "left_semi")
+        .groupBy(*MODEL, "covariate_id")
+        .agg(F.sum("covariate_value").alias("carried"))
+    )
+    width = long.select(*MODEL, "covariate_id").distinct().count()
     if width > max_covariates:
-        raise ValueError(f"{width} covariates; drop rare ones first")
-    beta: dict[int, float] = {}
-    loss, gradient, information = _evaluate(spark, rows, long, beta)
+        raise ValueError(f"{width} coefficients; drop rare covariates first")
+    linear: dict[tuple, dict[int, float]] = {}
+    for r in carried.collect():
+        linear.setdefault(tuple(r[k] for k in MODEL), {})[r.covariate_id] = r.carried
+    fits = {
+        tuple(r): _Fit() for r in rows.select(*MODEL).distinct().orderBy(*MODEL).collect()
+    }
 
-    def penalty(b: dict[int, float]) -> float:
-        return l1 * sum(abs(v) for k, v in b.items() if k != TREATMENT)
+    def loss_of(model: tuple, beta: dict[int, float], log_risk: float) -> float:
+        sums = linear.get(model, {})
+        return log_risk - sum(b * sums.get(k, 0.0) for k, b in beta.items())
 
-    step = 1.0 / max(information, 1.0)
+    for model, state in _evaluate(spark, rows, long, {m: {} for m in fits}).items():
+        fit = fits[model]
+        fit.loss, fit.gradient = state["log_risk"], state["gradient"]
+        fit.information = state["information"]
+        fit.step = 1.0 / max(fit.information, 1.0)
     for iteration in range(max_iter):
-        while True:
-            trial = {}
-            for k, g in gradient.items():
-                moved = beta.get(k, 0.0) - step * g
-                if k != TREATMENT:
-                    moved = math.copysign(max(abs(moved) - step * l1, 0.0), moved)
-                trial[k] = moved
-            shift = {k: v - beta.get(k, 0.0) for k, v in trial.items()}
-            new_loss, new_gradient, new_information = _evaluate(spark, rows, long, trial)
-            bound = (
-                loss
-                + sum(gradient[k] * d for k, d in shift.items())
-                + sum(d * d for d in shift.values()) / (2.0 * step)
-            )
-            if new_loss <= bound + LOSS_SLACK or step < 1e-12:
-                break
-            step /= 2.0
-        change = (loss + penalty(beta)) - (new_loss + penalty(trial))
-        bend = sum((new_gradient[k] - gradient[k]) * d for k, d in shift.items())
-        length = sum(d * d for d in shift.values())
-        beta, loss, gradient, information = trial, new_loss, new_gradient, new_information
-        if change < tolerance * (1.0 + abs(loss)):
+        moving = {m: f for m, f in fits.items() if not f.done}
+        if not moving:
             break
-        # Next step length from the curvature along the last move.
-        step = length / bend if bend > 0 else step * 2.0
-    log.info("Cox model stopped after %d iterations, loss %.6f", iteration + 1, loss)
-    return beta, (1.0 / math.sqrt(information) if information > 0 else None)
-
-
-def cox_grid(
-    matched: DataFrame, covariates: DataFrame | None = None, **options
-) -> DataFrame:
-    """``cox`` for each model of the grid: one row of ``log_rr`` and ``se_log_rr`` per model."""
-    models = matched.select(*MODEL).distinct().orderBy(*MODEL).collect()
-    fitted = []
-    for row in models:
-        mine = matched
-        for key in MODEL:
-            mine = mine.filter(F.col(key) == row[key])
-        beta, se = cox(mine, covariates, **options)
-        fitted.append((*row, beta.get(TREATMENT) if se is not None else None, se))
+        for fit in moving.values():
+            fit.propose(l1)
+        for model, state in _evaluate(
+            spark, rows, long, {m: f.trial for m, f in moving.items()}
+        ).items():
+            fit = fits[model]
+            loss = loss_of(model, fit.trial, state["log_risk"])
+            fit.settle(loss, state["gradient"], state["information"], l1, tolerance)
+    log.info("Cox models stopped after %d iterations", iteration + 1)
+    return {
+        m: (f.beta, 1.0 / math.sqrt(f.information) if f.information > 0 else None)
+        for m, f in fits.items()
+    }
+
+
+def cox_grid(matched: DataFrame, covariates: DataFrame | None = None, **options) -> DataFrame:
+    """``cox`` as one row of ``log_rr`` and ``se_log_rr`` per model."""
+    fitted = [
+        (*model, beta.get(TREATMENT) if se is not None else None, se)
+        for model, (beta, se) in cox(matched, covariates, **options).items()
+    ]
     return matched.sparkSession.createDataFrame(
         fitted,
         "target_id long, comparator_id long, outcome_id long, log_rr double, se_log_rr double",

@@ -162,6 +162,7 @@ def table1(
     flags: DataFrame,
     keys: list[str],
     digits: int = 2,
+    half_even: bool = False,
 ) -> DataFrame:
     """All blocks under one another with a header line per block.
 
@@ -199,5 +200,5 @@ def table1(
         "position",
         "line",
         "characteristic",
-        *[F.round(c, digits).alias(c) for c in VALUE_COLUMNS],
+        *[rounded(F.col(c), digits, half_even).alias(c) for c in VALUE_COLUMNS],
     )
