@@ -358,11 +358,9 @@ def mean_sd(stage, arm, n):
     keep = f"treatment = {arm}" + (" AND kept" if stage == "after" else "")
     sx = f"coalesce(sum(x) FILTER ({keep}), 0)"
     sxx = f"coalesce(sum(x * x) FILTER ({keep}), 0)"
-    mean = f"{sx} / any_value({n})"
-    sd = (
-        f"sqrt(greatest(({sxx} - any_value({n}) * ({mean}) * ({mean})) "
-        f"/ (any_value({n}) - 1), 0))"
-    )
+    mean = f"{sx} / nullif(any_value({n}), 0)"
+    square = f"({sxx} - any_value({n}) * ({mean}) * ({mean})) / nullif(any_value({n}) - 1, 0)"
+    sd = f"sqrt(CASE WHEN {square} < 0 THEN 0 ELSE {square} END)"
     return mean, sd
 
 

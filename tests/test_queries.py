@@ -9,7 +9,7 @@ from checks.compare import compare, open_tables
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# At this size the arms are too small for these: no pair of them is left to fit or they fit slowly.
+# Iterative fits: covered by test_models.py and test_study.py.
 SLOW = {"m2_cox_newton", "p6_propensity"}
 
 
