@@ -56,7 +56,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - started, 3)
 
     timed("stage_tables", lambda: [
-        study.cdm[t] for t in ("observation_period", "condition_era", "drug_era")
+        study.cdm[t] for t in ("concept", "concept_ancestor", "observation_period", "condition_era", "drug_era")
     ])
     timed("stage_cohorts", lambda: design.cohorts(study))
     timed("stage_covariates", lambda: feature_queries.covariates(study))

@@ -265,8 +265,8 @@ def retail_cdm(
         )
 
     builders = {
-        "concept": concept,
-        "concept_ancestor": concept_ancestor,
+        "concept": lambda: staged("concept", concept, []),
+        "concept_ancestor": lambda: staged("concept_ancestor", concept_ancestor, []),
         "person": person,
         "observation_period": observation_period,
         "death": death,

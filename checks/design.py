@@ -147,7 +147,10 @@ def resolve(study: Study) -> DataFrame:
 
 
 def codesets(study: Study) -> DataFrame:
-    return small_side(study.stage("codesets", resolve))
+    """The stored sets, checked for broadcast once."""
+    if "codesets" not in study.built:
+        study.built["codesets"] = small_side(study.stage("codesets", resolve))
+    return study.built["codesets"]
 
 
 def build(study: Study, cohort_id: int) -> DataFrame:

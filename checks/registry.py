@@ -25,6 +25,7 @@ class Study:
         self.spark = tune(spark)
         self.sf_dir = sf_dir
         self.cdm: Cdm = retail_cdm(spark, sf_dir, self._store)
+        self.built: dict[str, DataFrame] = {}
 
     def _store(
         self, name: str, build: Callable[[], DataFrame], by: list[str] | None = None

@@ -10,6 +10,7 @@ from checks.study_queries import (
     KEYS,
     MODEL,
     MODEL_SQL,
+    age_table,
     exact_matched,
     grid,
     population,
@@ -78,11 +79,8 @@ SPECS = [
 
 
 def scores(study):
-    from checks.feature_queries import chads2vasc
-
-    tables = score_tables(study) | {"CHADS2-VASc": chads2vasc(study)}
     stored = None
-    for label, table in tables.items():
+    for label, table in score_tables(study).items():
         part = table.select(
             "cohort_definition_id",
             "subject_id",
@@ -95,9 +93,7 @@ def scores(study):
 
 
 def bands(study):
-    table = age_groups(design.arms(study), study.cdm["person"]).withColumn(
-        "label", F.lit("Age groups")
-    )
+    table = study.stage("cohort_agegroups", age_table).withColumn("label", F.lit("Age groups"))
     rows = H.arm_rows(table, grid(study)).withColumnRenamed("age_group", "category")
     return H.with_after_match(rows, exact_matched(study), KEYS)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks import design
-from checks.feature_queries import chads2, covariates, days_with_diagnosis
+from checks.feature_queries import chads2, chads2vasc, covariates, days_with_diagnosis
 from checks.registry import VIEWS, query
 from twinarm.operators import balance as B
 from twinarm.operators import history as H
@@ -496,10 +496,16 @@ def covariate_rows(study):
 
 
 def score_tables(study):
-    """Stored score covariates of Table 1 by label."""
-    ages = age_groups(design.arms(study), study.cdm["person"])
+    """Score covariates of Table 1 by label, each a stored derived table."""
     return {
-        "Age at index": ages.withColumn("score", F.col("age_at_index")),
-        "CHADS2": chads2(study),
-        "Days with diagnosis": days_with_diagnosis(study),
+        "Age at index": study.stage("cohort_agegroups", age_table).withColumn(
+            "score", F.col("age_at_index")
+        ),
+        "CHADS2": study.stage("chads2", chads2),
+        "CHADS2-VASc": study.stage("chads2vasc", chads2vasc),
+        "Days with diagnosis": study.stage("diagnosis_days", days_with_diagnosis),
     }
+
+
+def age_table(study):
+    return age_groups(design.arms(study), study.cdm["person"])

@@ -225,7 +225,7 @@ def match(
     used = groups.select(*keys, "treatment", "score", F.lit(0).cast("long").alias("from_place"))
     spans = []
     for _ in range(max_ratio):
-        pairs = cut(match_groups(groups, keys))
+        pairs = match_groups(groups, keys)  # its parts are cut already
         if pairs.isEmpty():
             break
         placed = pairs.withColumn("t_from", _positions(pairs, keys, "t_score")).withColumn(
@@ -234,11 +234,13 @@ def match(
         shift = used.filter("treatment = 0").select(
             *keys, F.col("score").alias("c_score"), "from_place"
         )
-        placed = cut(
+        placed = (
             placed.join(shift, [*keys, "c_score"], "left")
             .withColumn("c_from", F.col("c_from") + F.coalesce("from_place", F.lit(0)))
             .drop("from_place")
         )
+        if max_ratio > 1:
+            placed = cut(placed)
         spans.append(placed)
         if max_ratio > 1:
             taken_t = placed.groupBy(*keys, F.col("t_score").alias("score")).agg(
