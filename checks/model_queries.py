@@ -23,9 +23,9 @@ from twinarm.operators import summary as S
 from twinarm.operators.cox import cox_grid, cox_pairs, pair_counts
 
 NAMES = (
-    (1, "[AL-Study] Procedure arm A"),
-    (2, "[AL-Study] Procedure arm B"),
-    (3, "[AL-Study] Drug_arm C"),
+    (1, "[Tag-1] Procedure arm A"),
+    (2, "[Tag-1] Procedure arm B"),
+    (3, "[Tag-1] Drug_arm C"),
 )
 
 

@@ -92,9 +92,9 @@ def test_p_values_and_names(frame):
     df = frame([(0.0,), (1.959964,), (-2.575829,)], "z double")
     got = [r[0] for r in df.select(two_sided_p(F.col("z"))).collect()]
     assert got == pytest.approx([1.0, 0.05, 0.01], abs=1e-6)
-    names = frame([("[AL-Thesis] PTA with Stent",)], "n string")
-    assert names.select(display_name(F.col("n"))).first()[0] == "PTA with Stent"
-    assert names.select(underscored_name(F.col("n"), True)).first()[0] == "pta_with_stent"
+    names = frame([("[Tag-1] Arm with device",)], "n string")
+    assert names.select(display_name(F.col("n"))).first()[0] == "Arm with device"
+    assert names.select(underscored_name(F.col("n"), True)).first()[0] == "arm_with_device"
 
 
 SUMMARY = "analysis_id string, target_id long, comparator_id long, outcome_id long, log_rr double, " \
