@@ -1,5 +1,7 @@
 """Queries on study populations, propensity, matching and balance."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from checks import design
@@ -152,18 +154,14 @@ def exposure(study):
          AND e.cohort_start_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'""",
 )
 def washout(study):
-    import datetime
-
     return P.exposure_pairs(
-        design.arms(study).filter(F.year("cohort_start_date") >= 1900),
+        design.arms(study),
         design.comparisons(study),
         study.cdm["observation_period"],
         first_exposure_only=True,
         washout_days=400,
-    ).filter(
-        F.col("cohort_start_date").between(
-            F.lit(datetime.date(1997, 1, 1)), F.lit(datetime.date(1999, 12, 31))
-        )
+        study_start=datetime.date(1997, 1, 1),
+        study_end=datetime.date(1999, 12, 31),
     ).drop("cohort_end_date", "op_end_date")
 
 

@@ -25,7 +25,11 @@ def exposure_pairs(
     study_start: datetime.date | None = None,
     study_end: datetime.date | None = None,
 ) -> DataFrame:
-    """Target and comparator entries of each comparison, with the end of their observation."""
+    """Target and comparator entries of each comparison, with the end of their observation.
+
+    A subject in both arms is removed whatever the dates of the entries; the study dates and the
+    washout restrict what is left.
+    """
     rows = arm_rows(
         cohorts.select(
             "cohort_definition_id", "subject_id", "cohort_start_date", "cohort_end_date"
@@ -38,10 +42,6 @@ def exposure_pairs(
             .agg(F.min(F.struct("cohort_start_date", "cohort_end_date")).alias("e"))
             .select(*PAIR, "treatment", "subject_id", "e.*")
         )
-    if study_start is not None:
-        rows = rows.filter(F.col("cohort_start_date") >= F.lit(study_start))
-    if study_end is not None:
-        rows = rows.filter(F.col("cohort_start_date") <= F.lit(study_end))
     if remove_duplicate_subjects:
         one_arm = (
             rows.groupBy(*PAIR, "subject_id")
@@ -50,6 +50,10 @@ def exposure_pairs(
             .select(*PAIR, "subject_id")
         )
         rows = rows.join(one_arm, [*PAIR, "subject_id"], "left_semi")
+    if study_start is not None:
+        rows = rows.filter(F.col("cohort_start_date") >= F.lit(study_start))
+    if study_end is not None:
+        rows = rows.filter(F.col("cohort_start_date") <= F.lit(study_end))
     observed = in_observation(
         rows.withColumnRenamed("subject_id", "person_id").withColumnRenamed(
             "cohort_start_date", "start_date"
