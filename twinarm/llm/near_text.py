@@ -85,7 +85,8 @@ def _bits(candidates: DataFrame, key: str) -> np.ndarray:
     while size < min(16 * n, FILTER_BITS[1]):
         size *= 2
     bits = np.zeros(size // 8, np.uint8)
-    spread = (candidates.select(F.pmod(F.xxhash64(key), F.lit(size)).alias("p"))
+    # Bitmap positions count from 1.
+    spread = (candidates.select((F.pmod(F.xxhash64(key), F.lit(size)) + 1).alias("p"))
               .select(F.bitmap_bucket_number("p").alias("bucket"), F.bitmap_bit_position("p").alias("place"))
               .groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("map")))
     for row in spread.toLocalIterator():
