@@ -86,3 +86,31 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def _op3_sql() -> str:
+    from twinarm.llm.licenses import BASE, TEMPLATES, as_regex, text_words
+
+    ws = "ws"
+    base = {label: text_words(p) for label, p in BASE.items()}
+    places = " + ".join(f"list_filter(range(1, len({ws}) + 1), lambda i: {ws}[i:i + {len(p) - 1}] = {p!r})" for p in base.values())
+    places = places.replace(" + list_filter", " || list_filter")
+    found = ", ".join(f"CASE WHEN contains(t, ' {' '.join(p)} ') THEN '{label}' END" for label, p in base.items())
+    own = ", ".join(f"CASE WHEN regexp_matches(t, '{as_regex(x)}') THEN '{label}' END" for label, x in TEMPLATES.items())
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL.format("text")}, '{ALNUM}') AS ws FROM documents),
+x AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS t FROM w),
+y AS (
+  SELECT doc_id, len(ws) AS n_words, {places} AS p, list_filter([{found}], lambda v: v IS NOT NULL) AS b,
+    list_filter([{own}], lambda v: v IS NOT NULL) AS o FROM x)
+SELECT doc_id, n_words, len(p) AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word,
+  array_to_string(list_sort(b), ',') AS base_labels, array_to_string(list_sort(list_distinct(b || o)), ',') AS labels,
+  CASE WHEN len(o) > 0 THEN 1.0 WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM y"""
+
+
+@query(_op3_sql())
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinarm.llm.licenses import license_scan
+
+    return license_scan(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
