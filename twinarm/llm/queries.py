@@ -114,3 +114,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinarm.llm.licenses import license_scan
 
     return license_scan(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinarm.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"))
