@@ -51,19 +51,23 @@ def _thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, finish: int = EDGES_AT_ONCE) -> DataFrame:
     """``node, root`` for every node of ``edges`` (two long columns) but the smallest of each component,
     which is the root. Null ends and loops are ignored; no edges give no rows.
 
     Each partition first reduces its edges to a forest. Then large and small stars alternate until
     nothing changes; minima are partial aggregates and a hub's rows may be split in the joins, since
-    the minima are written tables.
+    the minima are written tables. As soon as no more than ``finish`` edges are left, which is what
+    one task holds at once anyway, one task ends the work.
     """
     left, right = (F.col(c) for c in edges.columns)
     now = stage(edges.select(left.cast("long").alias("a"), right.cast("long").alias("b"))
                 .where("a <> b").mapInArrow(_thin, EDGE))
     seen = None
     while True:
+        if now.count() <= min(finish, EDGES_AT_ONCE - 1):
+            now = stage(now.coalesce(1).mapInArrow(_thin, EDGE))
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = stage(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())

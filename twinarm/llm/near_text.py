@@ -89,7 +89,7 @@ def _bits(candidates: DataFrame, key: str) -> np.ndarray:
     spread = (candidates.select((F.pmod(F.xxhash64(key), F.lit(size)) + 1).alias("p"))
               .select(F.bitmap_bucket_number("p").alias("bucket"), F.bitmap_bit_position("p").alias("place"))
               .groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("map")))
-    for row in spread.toLocalIterator():
+    for row in spread.collect():  # 4 KB a row, as many as the table has room for
         part = np.frombuffer(bytes(row["map"]), np.uint8)
         at = (row["bucket"] - 1) * len(part)
         bits[at : at + len(part)] |= part[: len(bits) - at]

@@ -143,3 +143,23 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     "conv_id long, turn long, role string, text string")
     given = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return digests(format_chats(given.unionByName(planted)))
+
+
+def _fold(folds: int):
+    """Fold of a document, from its id alone."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def language_model(docs: DataFrame):
+    from twinarm.llm.language import train
+
+    return train(docs.where(F.coalesce(_fold(3), F.lit(0)) != 1))
+
+
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinarm.llm.language import predict
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = predict(docs, language_model(docs)).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (F.coalesce(_fold(3), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
