@@ -163,3 +163,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = predict(docs, language_model(docs)).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (F.coalesce(_fold(3), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame):
+    """Labels of an id that is null or labelled both ways teach nothing."""
+    from twinarm.llm.quality import train
+
+    judged = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
+    open_docs = docs.select("doc_id", "text").where(_fold(4) != 2)
+    return train(open_docs.join(judged.select("doc_id", "quality"), "doc_id"))
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinarm.llm.quality import THRESHOLD, predict
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = predict(docs, quality_model(docs, read_table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (F.coalesce(_fold(4), F.lit(0)) == 2).alias("held_out"), "score",
+                        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
