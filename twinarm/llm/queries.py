@@ -182,3 +182,24 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = predict(docs, quality_model(docs, read_table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (F.coalesce(_fold(4), F.lit(0)) == 2).alias("held_out"), "score",
                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+e AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT e.y, r.seen FROM r JOIN e ON e.x = r.node),
+m AS (SELECT node, min(seen) AS component_id FROM r GROUP BY ALL),
+n AS (SELECT x AS node, count(*) AS c FROM e GROUP BY ALL)
+SELECT vec_id, coalesce(c, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN m ON m.node = vec_id LEFT JOIN n ON n.node = vec_id
+"""
+
+
+@query(OP4_SQL)
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinarm.llm.near_vectors import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
