@@ -203,3 +203,11 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return near_vectors(read_table(spark, sf_dir, "embeddings")).select(
         F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query()
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinarm.llm.html_text import main_text, train
+
+    pages = read_table(spark, sf_dir, "pages")
+    return main_text(pages, train(pages)).withColumnRenamed("id", "page_id")
