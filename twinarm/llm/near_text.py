@@ -268,3 +268,34 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = keyed.join(final, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select("id", "n", component.alias("component"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
+                similarity: tuple[int, int] = SIMILARITY, share: float = SHARE) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each class does, all columns kept.
+
+    Rows are named by their ids: an id stays if any of its rows is kept, and rows without an id stay.
+    A bit table of the ids to drop lets most rows pass without a shuffle; the rest meet the ids.
+    """
+    spark = docs.sparkSession
+    gone = stage(near_classes(docs, id_col, text_col, k, similarity, share).where("id is not null")
+                 .groupBy("id").agg(F.max("kept").alias("kept")).where("not kept").select("id"))
+    bits = spark.sparkContext.broadcast(_bits(gone, "id"))
+    size = len(bits.value) * 8
+    mark = "twinarm_place"
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(size)).alias(mark), F.struct("*").alias("twinarm_row"))
+
+    def passing(wanted: int):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = bits.value
+            for batch in batches:
+                place = batch.column(0).to_numpy()
+                hit = (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+                yield batch.filter(pa.array(hit == wanted))
+
+        return run
+
+    free = rows.mapInArrow(passing(0), rows.schema).select("twinarm_row.*")
+    held = rows.mapInArrow(passing(1), rows.schema).select("twinarm_row.*")
+    held = held.join(gone.withColumnRenamed("id", "twinarm_id"), F.col(id_col).cast("long") == F.col("twinarm_id"), "left_anti")
+    return free.unionByName(held)
