@@ -258,7 +258,9 @@ def retail_cdm(
         return read("events").select(
             F.col("user_id").alias("person_id"),
             kind.cast("long").alias("measurement_concept_id"),
-            F.to_date(F.col("ts") - F.make_interval(years=F.lit(25))).alias("measurement_date"),
+            # The days of one month spread over the years of the study.
+            F.date_sub(F.to_date("ts"), (F.lit(8766) + F.col("event_id") * 37 % 1461).cast("int"))
+            .alias("measurement_date"),
             F.col("value").alias("value_as_number"),
             F.lit(1.0).alias("range_low"),
             F.lit(100.0).alias("range_high"),
@@ -378,7 +380,7 @@ CDM_VIEWS = {
         SELECT user_id AS person_id,
                CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3
                     WHEN 'signup' THEN 4 WHEN 'view' THEN 5 END AS measurement_concept_id,
-               CAST(ts - INTERVAL 25 YEAR AS DATE) AS measurement_date,
+               CAST(ts AS DATE) - CAST(8766 + event_id * 37 % 1461 AS INTEGER) AS measurement_date,
                value AS value_as_number, 1.0 AS range_low, 100.0 AS range_high
         FROM events""",
     "condition_era": _era_sql("condition"),

@@ -179,7 +179,7 @@ def prior_observation(study):
 @query(
     "c10_event_number",
     """SELECT person_id, source, event_id, row_number() OVER (PARTITION BY person_id
-           ORDER BY start_date, event_id % 61, end_date, source, event_id) AS event_ordinal
+           ORDER BY start_date, end_date, source, event_id) AS event_ordinal
        FROM observed_primary""",
 )
 def event_number(study):

@@ -194,6 +194,11 @@ def sql_dates() -> str:
     return " AND ".join(f"DATE '{d}'" for d in INDEX_RANGE)
 
 
+VIEWS["comparisons"] = (
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"(CAST({t} AS BIGINT), CAST({c} AS BIGINT))" for t, c in COMPARISONS)
+    + ") AS v(target_id, comparator_id)"
+)
 VIEWS["items"] = (
     "SELECT * FROM (VALUES "
     + ", ".join(f"({s}, {c}, {str(x).lower()}, {str(d).lower()})" for s, c, x, d in ITEMS)

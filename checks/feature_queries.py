@@ -347,8 +347,6 @@ VIEWS["x_observations"] = (
         "observation", "observation_concept_id", "observation_date", "observation_count_long", 180
     )
 )
-VIEWS["measured_arms"] = """
-    SELECT cohort_definition_id, subject_id, DATE '1999-01-20' AS cohort_start_date FROM arms"""
 VIEWS["x_measurements"] = (
     flag_sql(
         "measurement", "measurement_concept_id", "measurement_date",
@@ -368,8 +366,6 @@ VIEWS["x_measurements"] = (
         "(SELECT * FROM measurement WHERE value_as_number > range_high)",
         "measurement_concept_id", "measurement_date", {"measurement_above": 180},
     )
-).replace("FROM arms", "FROM measured_arms").replace("arms) a", "measured_arms) a").replace(
-    "measured_measured_arms", "measured_arms"
 )
 VIEWS["x_scores"] = f"""
     SELECT DISTINCT {ENTRY}, CAST(analysis AS BIGINT) AS covariate_id,
@@ -378,39 +374,37 @@ VIEWS["x_scores"] = f"""
                     UNION ALL SELECT *, {A["chads2"]} FROM chads2
                     UNION ALL SELECT *, {A["chads2vasc"]} FROM chads2vasc)
          USING (cohort_definition_id, subject_id) WHERE score <> 0"""
-VIEWS["covariates"] = """
-    SELECT * FROM x_demographics UNION ALL SELECT * FROM x_groups
-    UNION ALL SELECT * FROM x_drug_eras"""
+FAMILIES = (
+    "demographics", "conditions", "inpatient", "condition_eras", "groups", "drugs", "drug_eras",
+    "procedures", "observations", "measurements", "scores",
+)
+VIEWS["covariates"] = " UNION ALL ".join(f"SELECT * FROM x_{name}" for name in FAMILIES)
+
+VIEWS["paired_covariates"] = """
+    SELECT c.target_id, c.comparator_id, v.* FROM covariates v
+    JOIN comparisons c ON v.cohort_definition_id IN (c.target_id, c.comparator_id)"""
 
 
 def group_concepts(study):
     return study.cdm["concept"].filter("concept_id < 1000000").select("concept_id")
 
 
-def risk_scores(study):
-    parts = [
-        X.score_covariate(entries(study), charlson_like(study), "charlson"),
-        X.score_covariate(entries(study), chads2(study), "chads2"),
-        X.score_covariate(entries(study), chads2vasc(study), "chads2vasc"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def scores_by_name(study):
+    return {
+        "charlson": charlson_like(study), "chads2": chads2(study), "chads2vasc": chads2vasc(study),
+    }
 
 
-def measured(study):
-    """The measurement days cover one month: index every arm inside it."""
-    return entries(study).withColumn("cohort_start_date", F.lit("1999-01-20").cast("date"))
+def risk_scores(study):
+    parts = [X.score_covariate(entries(study), d, n) for n, d in scores_by_name(study).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def covariates(study):
-    """The covariates the study queries use: demographics, condition groups, drug eras."""
+    """The covariates the study queries use: all families."""
 
     def build(s):
-        parts = [
-            X.demographics(entries(s), s.cdm["person"]),
-            X.condition_groups(entries(s), s.cdm, group_concepts(s)),
-            X.drug_eras(entries(s), s.cdm),
-        ]
-        return reduce(DataFrame.unionByName, parts)
+        return X.all_families(entries(s), s.cdm, group_concepts(s), scores_by_name(s))
 
     return study.stage("covariates", build)
 
@@ -438,13 +432,13 @@ query("x9_observations", "SELECT * FROM x_observations")(
     lambda s: X.observations(entries(s), s.cdm)
 )
 query("x10_measurements", "SELECT * FROM x_measurements")(
-    lambda s: X.measurements(measured(s), s.cdm)
+    lambda s: X.measurements(entries(s), s.cdm)
 )
 query("x11_risk_scores", "SELECT * FROM x_scores")(risk_scores)
 query(
     "x12_year_interaction",
-    f"""SELECT {ENTRY}, covariate_id * 10000 + year(cohort_start_date) AS covariate_id,
-               covariate_value FROM x_groups""",
+    f"""SELECT {ENTRY}, (covariate_id * 1000 + year(cohort_start_date) - 1900) * 1000 + 990
+               AS covariate_id, covariate_value FROM x_groups""",
 )(lambda s: X.year_interaction(X.condition_groups(entries(s), s.cdm, group_concepts(s))))
 
 
@@ -462,11 +456,13 @@ def exclude(study):
 
 @query(
     "x14_drop_rare",
-    """SELECT * FROM covariates WHERE covariate_id IN (SELECT covariate_id FROM covariates
-           GROUP BY covariate_id HAVING count(DISTINCT subject_id) >= 100)""",
+    f"""SELECT target_id, comparator_id, {ENTRY}, covariate_id, covariate_value
+       FROM paired_covariates
+       JOIN (SELECT target_id, comparator_id, covariate_id FROM paired_covariates GROUP BY ALL
+             HAVING count(DISTINCT subject_id) >= 100) USING (target_id, comparator_id, covariate_id)""",
 )
 def rare(study):
-    return X.drop_rare(covariates(study), 100)
+    return X.drop_rare(covariates(study), design.comparisons(study), 100)
 
 
 LISTED = (8507001, 8532001, 1999005)

@@ -126,7 +126,7 @@ MATCH_SQL = f"""
           FROM (SELECT q.*, CAST(round(ps * 1000000000) AS BIGINT) AS k,
                        row_number() OVER (PARTITION BY {MODEL_SQL}, treatment,
                            round(ps * 1000000000)
-                           ORDER BY subject_id % 61, subject_id, cohort_start_date) AS place,
+                           ORDER BY subject_id, cohort_start_date) AS place,
                        count(*) OVER (PARTITION BY {MODEL_SQL}, treatment,
                            round(ps * 1000000000)) AS n
                 FROM {{source}} q) r
@@ -298,50 +298,69 @@ def match_exact(study):
     return M.match(scored(study), MODEL, caliper=0.0).select(*MODEL, *P.ROW, "stratum_id")
 
 
-# Sequential greedy over score groups by (distance, mix, scores), one model: every step takes the
-# closest pair with subjects left on both sides.
-VIEWS["one_model"] = f"""
-    SELECT *, CAST(round(ps * 1000000000) AS BIGINT) AS k FROM scored
-    WHERE target_id = 1 AND outcome_id = 11"""
+# Sequential greedy over score groups by (distance, mix, scores), all models side by side: every step
+# takes the closest pair of each model with subjects left on both sides.
+VIEWS["score_groups"] = f"""
+    SELECT {MODEL_SQL}, treatment, CAST(round(ps * 1000000000) AS BIGINT) AS k, count(*) AS n
+    FROM scored GROUP BY ALL"""
+VIEWS["widths"] = f"""
+    SELECT {MODEL_SQL}, floor(0.25 * stddev_samp(ps) * 1000000000) AS width
+    FROM scored GROUP BY ALL"""
 GREEDY_SQL = f"""
-    WITH RECURSIVE greedy(step, t, c, d, mix, nt, nc, pick, take) AS (
-        SELECT 0, t.k, c.k, abs(t.k - c.k), (t.k * {M.MIX_T} + c.k * {M.MIX_C}) % {M.MIX_MOD},
-               t.n, c.n, false, CAST(0 AS BIGINT)
-        FROM (SELECT k, count(*) AS n FROM one_model WHERE treatment = 1 GROUP BY k) t,
-             (SELECT k, count(*) AS n FROM one_model WHERE treatment = 0 GROUP BY k) c
-        WHERE abs(t.k - c.k) <= (SELECT floor(0.25 * stddev_samp(ps) * 1000000000) FROM one_model)
+    WITH RECURSIVE greedy(target_id, comparator_id, outcome_id, step, t, c, d, mix, nt, nc, pick, take) AS (
+        SELECT {MODEL_SQL}, 0, t.k, c.k, abs(t.k - c.k),
+               (t.k * {M.MIX_T} + c.k * {M.MIX_C}) % {M.MIX_MOD}, t.n, c.n, false, CAST(0 AS BIGINT)
+        FROM (SELECT * FROM score_groups WHERE treatment = 1) t
+        JOIN (SELECT * FROM score_groups WHERE treatment = 0) c USING ({MODEL_SQL})
+        JOIN widths USING ({MODEL_SQL})
+        WHERE abs(t.k - c.k) <= width
         UNION ALL
-        SELECT step + 1, t, c, d, mix,
+        SELECT {MODEL_SQL}, step + 1, t, c, d, mix,
                nt - CASE WHEN t = pt THEN best ELSE 0 END,
                nc - CASE WHEN c = pc THEN best ELSE 0 END,
                t = pt AND c = pc, CASE WHEN t = pt AND c = pc THEN best ELSE 0 END
         FROM (SELECT g.*, first_value(t) OVER w AS pt, first_value(c) OVER w AS pc,
                      first_value(least(nt, nc)) OVER w AS best
               FROM greedy g WHERE nt > 0 AND nc > 0
-              WINDOW w AS (ORDER BY d, mix, t, c
+              WINDOW w AS (PARTITION BY {MODEL_SQL} ORDER BY d, mix, t, c
                            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
     )
-    SELECT t AS t_score, c AS c_score, take AS matched FROM greedy WHERE pick"""
+    SELECT {MODEL_SQL}, t AS t_score, c AS c_score, take AS matched FROM greedy WHERE pick"""
 
 
 @query("p9_match_caliper", GREEDY_SQL)
 def match_caliper(study):
-    mine = scored(study).filter("target_id = 1 and outcome_id = 11")
-    matched = M.match(mine, MODEL, caliper=0.25)
+    matched = M.match(scored(study), MODEL, caliper=0.25)
     score = F.round(F.col("ps") * M.SCORE_UNIT).cast("long")
     sides = matched.groupBy(*MODEL, "stratum_id").agg(
         F.max(F.when(F.col("treatment") == 1, score)).alias("t_score"),
         F.max(F.when(F.col("treatment") == 0, score)).alias("c_score"),
     )
-    return sides.groupBy("t_score", "c_score").agg(F.count("*").alias("matched"))
+    return sides.groupBy(*MODEL, "t_score", "c_score").agg(F.count("*").alias("matched"))
 
 
-@query("p10_match_ratio")
+# With equal scores, treated subject i of a score and gender takes comparator i, then n + i.
+VIEWS["ratio_places"] = f"""
+    SELECT s.*, CAST(round(ps * 1000000000) AS BIGINT) AS k, p.gender_concept_id,
+           row_number() OVER (PARTITION BY {MODEL_SQL}, gender_concept_id, round(ps * 1000000000), treatment
+                              ORDER BY subject_id, cohort_start_date) - 1 AS place,
+           least(sum(treatment) OVER g, sum(1 - treatment) OVER g) AS pairs
+    FROM scored s JOIN person p ON p.person_id = s.subject_id
+    WINDOW g AS (PARTITION BY {MODEL_SQL}, gender_concept_id, round(ps * 1000000000))"""
+
+
+@query(
+    "p10_match_ratio",
+    f"""SELECT {MODEL_SQL}, {ROW_SQL}, gender_concept_id,
+               k || '-' || CAST(CASE WHEN treatment = 1 THEN place ELSE place % pairs END AS BIGINT)
+                   AS stratum_id
+        FROM ratio_places WHERE pairs > 0 AND place < CASE WHEN treatment = 1 THEN pairs ELSE 2 * pairs END""",
+)
 def match_ratio(study):
-    """Two comparators per treated subject, within gender; properties are tested in tests/."""
+    """Up to two comparators of the same score per treated subject, within gender."""
     who = study.cdm["person"].select(F.col("person_id").alias("subject_id"), "gender_concept_id")
-    rows = scored(study).filter("outcome_id = 11").join(who, "subject_id")
-    return M.match(rows, MODEL, max_ratio=2, strata=("gender_concept_id",)).select(
+    rows = scored(study).join(who, "subject_id")
+    return M.match(rows, MODEL, 0.0, max_ratio=2, strata=("gender_concept_id",)).select(
         *MODEL, *P.ROW, "gender_concept_id", "stratum_id"
     )
 
@@ -420,21 +439,21 @@ def unbalanced(study):
 
 @query(
     "p13_top_unbalanced",
-    f"""SELECT ranked_by, covariate_id, {six_sql(["before_std_diff", "after_std_diff"])} FROM (
-        (SELECT 'before' AS ranked_by, * FROM balanced WHERE target_id = 1 AND outcome_id = 11
-          AND before_std_diff IS NOT NULL
-         ORDER BY round(abs(before_std_diff), 9) DESC, covariate_id LIMIT 20)
-        UNION ALL
-        (SELECT 'after' AS ranked_by, * FROM balanced WHERE target_id = 1 AND outcome_id = 11
-          AND after_std_diff IS NOT NULL
-         ORDER BY round(abs(after_std_diff), 9) DESC, covariate_id LIMIT 20))""",
+    f"""SELECT ranked_by, {MODEL_SQL}, covariate_id, {six_sql(["before_std_diff", "after_std_diff"])}
+        FROM (SELECT 'before' AS ranked_by, * FROM balanced WHERE before_std_diff IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY {MODEL_SQL}
+                  ORDER BY round(abs(before_std_diff), 9) DESC, covariate_id) <= 20
+              UNION ALL
+              SELECT 'after' AS ranked_by, * FROM balanced WHERE after_std_diff IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY {MODEL_SQL}
+                  ORDER BY round(abs(after_std_diff), 9) DESC, covariate_id) <= 20)""",
 )
 def top(study):
-    mine = balanced(study).filter("target_id = 1 and outcome_id = 11")
     names = ["before_std_diff", "after_std_diff"]
+    mine = balanced(study)
     for n in names:
         mine = mine.withColumn(n, F.round(n, 9))
-    return six(B.top_unbalanced(mine, 20).select("ranked_by", "covariate_id", *names), names)
+    return six(B.top_unbalanced(mine, 20).select("ranked_by", *MODEL, "covariate_id", *names), names)
 
 
 @query(

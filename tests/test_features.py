@@ -64,7 +64,18 @@ def test_rare_excluded_and_listed(frame):
     rows = [(1, s, "2000-01-01", c, 1.0) for c, n in ((5101, 3), (6101, 2), (8507001, 3)) for s in range(n)]
     cov = frame(rows, entry)
     ids = lambda df: {r.covariate_id for r in df.select("covariate_id").distinct().collect()}
-    assert ids(X.drop_rare(cov, 3)) == {5101, 8507001}
+    pairs = frame([(1, 2)], "target_id long, comparator_id long")
+    assert ids(X.drop_rare(cov, pairs, 3)) == {5101, 8507001}
+    # Two targets with 3 subjects each do not make one comparison with 6.
+    two = frame([(t, 10 * t + k, "2000-01-01", 9101, 1.0) for t in (1, 3) for k in range(3)], entry)
+    pairs = frame([(1, 2), (3, 2)], "target_id long, comparator_id long")
+    assert X.drop_rare(two, pairs, 4).isEmpty()
+    # Interactions of an excluded concept go with it.
+    by_year = X.year_interaction(cov)
+    gone = frame([(5,)], "concept_id long")
+    none = frame([], "ancestor_concept_id long, descendant_concept_id long")
+    left = X.exclude_concepts(by_year, gone, none).select(X.base_covariate(F.col("covariate_id")).alias("covariate_id"))
+    assert ids(left) == {6101, 8507001}
     ancestor = frame([(4, 5)], "ancestor_concept_id long, descendant_concept_id long")
     assert ids(X.exclude_concepts(cov, frame([(4,), (8507,)], "concept_id long"), ancestor)) == {6101, 8507001}
     assert ids(X.drop_listed(cov, frame([(6101,)], "covariate_id long"))) == {5101, 8507001}

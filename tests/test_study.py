@@ -46,13 +46,13 @@ def test_time_at_risk_and_prior_outcome(frame):
 
 
 def greedy(rows, width):
-    """Sequential greedy by (distance, mix, scores); rows of a score pair by slice and id."""
+    """Sequential greedy by (distance, mix, scores); rows of a score pair by id."""
     pools = {0: {}, 1: {}}
     for arm, subject, k in rows:
         pools[arm].setdefault(k, []).append(subject)
     for arm in pools:
         for k in pools[arm]:
-            pools[arm][k].sort(key=lambda s: (s % 61, s))
+            pools[arm][k].sort()
     order = sorted(
         (abs(t - c), (t * M.MIX_T + c * M.MIX_C) % M.MIX_MOD if t != c else -1, t, c)
         for t in pools[1] for c in pools[0] if abs(t - c) <= width
@@ -95,6 +95,21 @@ def test_matching_equals_sequential_greedy(spark, frame, monkeypatch, per_bucket
         assert {(s[1], s[0]) for s in strata.values()} == want
 
 
+def test_one_hot_score_takes_its_partners_in_few_rounds(spark, frame, monkeypatch):
+    """Many treated on one score, comparators on scores of their own inside the caliper."""
+    n, rounds = 2000, []
+    monkeypatch.setattr(M, "_round", lambda state, keys, f=M._round: rounds.append(1) or f(state, keys))
+    case = [(1, i, M.SCORE_UNIT // 2) for i in range(n)]
+    case += [(0, n + i, M.SCORE_UNIT // 2 + (1 if i % 2 else -1) * 1000 * (i + 1)) for i in range(n)]
+    data = frame([(1, a, i, "2000-01-01", k / M.SCORE_UNIT) for a, i, k in case], SCORED)
+    got = M.match(data, ["m"], 0.1, "propensity score").collect()
+    strata = {}
+    for r in got:
+        strata.setdefault(r.stratum_id, {})[r.treatment] = r.subject_id
+    assert {(s[1], s[0]) for s in strata.values()} == greedy(case, M.SCORE_UNIT // 10)
+    assert len(strata) == n and len(rounds) <= 5
+
+
 def test_matching_ratio_and_strata(frame):
     rng = random.Random(3)
     rows = [(rng.randint(0, 1), int(rng.random() < 0.25), i, "2000-01-01", round(rng.random(), 3), rng.randint(0, 1))

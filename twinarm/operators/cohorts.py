@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from twinarm.operators.criteria import Correlated, Criterion, Group, criterion_events, filter_group
 from twinarm.operators.events import end_or_next_day, first_event, primary_events
+from twinarm.operators.reach import near_index
 from twinarm.session import small_side
 from twinarm.sources.cdm import Cdm
 
@@ -121,15 +122,16 @@ def negative_control_cohorts(
     """
     controls = small_side(
         ancestor.join(
-            F.broadcast(control_ids),
+            small_side(control_ids),
             F.col("ancestor_concept_id") == F.col("concept_id"),
             "left_semi",
         )
     )
-    entries = cohorts.join(F.broadcast(treatment_ids), "cohort_definition_id", "left_semi").select(
-        "subject_id", "cohort_start_date"
-    )
-    under = conditions.join(
+    entries = cohorts.join(
+        small_side(treatment_ids), "cohort_definition_id", "left_semi"
+    ).select("subject_id", "cohort_start_date")
+    later = near_index(entries, conditions, "condition_start_date", before=0, after=None)
+    under = later.join(
         controls, F.col("condition_concept_id") == F.col("descendant_concept_id")
     ).select(
         F.col("ancestor_concept_id").alias("cohort_definition_id"),

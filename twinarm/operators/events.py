@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.operators.ranking import id_slice, sliced_row_number
+from twinarm.operators.ranking import id_range, sliced_row_number
 from twinarm.sources.cdm import Cdm
 
 EVENT_COLUMNS = ["person_id", "event_id", "start_date", "end_date", "target_concept_id"]
@@ -176,11 +176,12 @@ def primary_events(
 
 
 def number_events(events: DataFrame, name: str = "event_ordinal") -> DataFrame:
-    """Position of each event within its person by start date, with a total tie order."""
+    """Position of each event within its person by start, end, source and event id, the order of
+    ``first_event``."""
     return sliced_row_number(
         events,
         ["person_id"],
-        [F.col("start_date"), id_slice("event_id")],
-        [F.col("end_date"), F.col("source"), F.col("event_id")],
+        [F.col("start_date"), F.col("end_date"), F.col("source"), id_range("event_id")],
+        [F.col("event_id")],
         name,
     )

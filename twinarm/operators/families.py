@@ -1,7 +1,9 @@
 """Sparse covariates at index, one long table ``(entry, covariate_id, covariate_value)``.
 
 An entry is ``(cohort_definition_id, subject_id, cohort_start_date)``; a covariate id is
-``concept_id * 1000 + analysis_id``. Windows are closed: ``index - days .. index``.
+``concept_id * 1000 + analysis_id``. Windows are closed: ``index - days .. index``. Records of
+persons outside the cohort, or outside a person's reach of days, are dropped before anything is
+grouped or multiplied.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.session import small_side
+from twinarm.operators.reach import near_index
+from twinarm.session import cut, small_side
 from twinarm.sources.cdm import Cdm
 
 ENTRY = ["cohort_definition_id", "subject_id", "cohort_start_date"]
@@ -71,12 +74,19 @@ def demographics(cohort: DataFrame, person: DataFrame) -> DataFrame:
     )
 
 
-def _daily(table: DataFrame, concept: str, start: str, end: str | None = None) -> DataFrame:
-    """Records shrunk to one row per person, concept and day before any join."""
+def _daily(
+    table: DataFrame,
+    concept: str,
+    start: str,
+    end: str | None = None,
+    flags: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Records shrunk to one row per person, concept and day, with whether any met each flag."""
     keys = [F.col(concept).cast("long").alias("concept_id"), F.col(start).alias("start_date")]
     aggs = [F.count("*").alias("n")]
     if end:
         aggs.append(F.max(end).alias("end_date"))
+    aggs += [F.bool_or(held).alias(f"is_{name}") for name, held in (flags or {}).items()]
     return table.groupBy(F.col("person_id").alias("subject_id"), *keys).agg(*aggs)
 
 
@@ -85,10 +95,12 @@ def _windowed(
     daily: DataFrame,
     windows: dict[str, int],
     counts: dict[str, int] | None = None,
+    flags: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Presence in each window and, where asked, the number of records; one pass for all windows."""
-    counts = counts or {}
-    reach = max([*windows.values(), *counts.values()])
+    """Presence in each window and, where asked, the number of records and the presence of flagged
+    ones; one pass for all windows."""
+    counts, flags = counts or {}, flags or {}
+    reach = max([*windows.values(), *counts.values(), *flags.values()])
     gap = F.date_diff(F.col("cohort_start_date"), F.col("start_date"))
     met = (
         _entries(cohort)
@@ -102,6 +114,7 @@ def _windowed(
             F.sum(F.when(F.col("gap") <= days, F.col("n"))).alias(f"n_{name}")
             for name, days in counts.items()
         ],
+        *[F.min(F.when(F.col(f"is_{name}"), F.col("gap"))).alias(f"gap_{name}") for name in flags],
     )
 
     def pair(name: str, held: Column, value: Column) -> Column:
@@ -115,6 +128,7 @@ def _windowed(
 
     pairs = [pair(n, F.col("gap") <= d, F.lit(1.0)) for n, d in windows.items()]
     pairs += [pair(n, F.col(f"n_{n}").isNotNull(), F.col(f"n_{n}")) for n in counts]
+    pairs += [pair(n, F.col(f"gap_{n}") <= d, F.lit(1.0)) for n, d in flags.items()]
     return summed.select(
         *ENTRY, F.explode(F.array_compact(F.array(*pairs))).alias("c")
     ).select(*ENTRY, "c.covariate_id", "c.covariate_value")
@@ -124,8 +138,9 @@ def _eras(
     cohort: DataFrame, eras: DataFrame, domain: str, windows: dict[str, int] | None = None
 ) -> DataFrame:
     """Eras that began by index (ever), still run at index (overlap), or end inside a window."""
+    start = f"{domain}_era_start_date"
     daily = _daily(
-        eras, f"{domain}_concept_id", f"{domain}_era_start_date", f"{domain}_era_end_date"
+        near_index(cohort, eras, start), f"{domain}_concept_id", start, f"{domain}_era_end_date"
     )
     started = (
         _entries(cohort).join(daily, "subject_id").filter("start_date <= cohort_start_date")
@@ -144,7 +159,8 @@ def _eras(
 
 
 def conditions(cohort: DataFrame, cdm: Cdm) -> DataFrame:
-    daily = _daily(cdm["condition_occurrence"], "condition_concept_id", "condition_start_date")
+    rows = near_index(cohort, cdm["condition_occurrence"], "condition_start_date", LONG_TERM)
+    daily = _daily(rows, "condition_concept_id", "condition_start_date")
     return _windowed(
         cohort, daily, {"condition_long": LONG_TERM, "condition_short": SHORT_TERM}
     )
@@ -158,9 +174,8 @@ def inpatient_conditions(
         .filter(F.col("visit_concept_id").isin(*visit_types))
         .select("visit_occurrence_id", "person_id")
     )
-    rows = cdm["condition_occurrence"].join(
-        visits, ["visit_occurrence_id", "person_id"], "left_semi"
-    )
+    near = near_index(cohort, cdm["condition_occurrence"], "condition_start_date", MEDIUM_TERM)
+    rows = near.join(visits, ["visit_occurrence_id", "person_id"], "left_semi")
     daily = _daily(rows, "condition_concept_id", "condition_start_date")
     return _windowed(cohort, daily, {"condition_inpatient_medium": MEDIUM_TERM})
 
@@ -182,7 +197,8 @@ def condition_groups(
         )
         .select("ancestor_concept_id", "descendant_concept_id")
     )
-    rolled = cdm["condition_occurrence"].join(
+    near = near_index(cohort, cdm["condition_occurrence"], "condition_start_date", days)
+    rolled = near.join(
         edges, F.col("condition_concept_id") == F.col("descendant_concept_id")
     )
     daily = _daily(rolled, "ancestor_concept_id", "condition_start_date")
@@ -190,7 +206,8 @@ def condition_groups(
 
 
 def drugs(cohort: DataFrame, cdm: Cdm) -> DataFrame:
-    daily = _daily(cdm["drug_exposure"], "drug_concept_id", "drug_exposure_start_date")
+    rows = near_index(cohort, cdm["drug_exposure"], "drug_exposure_start_date", LONG_TERM)
+    daily = _daily(rows, "drug_concept_id", "drug_exposure_start_date")
     return _windowed(cohort, daily, {"drug_long": LONG_TERM, "drug_short": SHORT_TERM})
 
 
@@ -204,14 +221,16 @@ def drug_eras(cohort: DataFrame, cdm: Cdm) -> DataFrame:
 
 
 def procedures(cohort: DataFrame, cdm: Cdm) -> DataFrame:
-    daily = _daily(cdm["procedure_occurrence"], "procedure_concept_id", "procedure_date")
+    rows = near_index(cohort, cdm["procedure_occurrence"], "procedure_date", LONG_TERM)
+    daily = _daily(rows, "procedure_concept_id", "procedure_date")
     return _windowed(
         cohort, daily, {"procedure_long": LONG_TERM, "procedure_short": SHORT_TERM}
     )
 
 
 def observations(cohort: DataFrame, cdm: Cdm) -> DataFrame:
-    daily = _daily(cdm["observation"], "observation_concept_id", "observation_date")
+    rows = near_index(cohort, cdm["observation"], "observation_date", LONG_TERM)
+    daily = _daily(rows, "observation_concept_id", "observation_date")
     return _windowed(
         cohort,
         daily,
@@ -222,21 +241,23 @@ def observations(cohort: DataFrame, cdm: Cdm) -> DataFrame:
 
 def measurements(cohort: DataFrame, cdm: Cdm) -> DataFrame:
     """Presence, counts, and values outside the reference range within the long window."""
-    table = cdm["measurement"]
-    daily = _daily(table, "measurement_concept_id", "measurement_date")
-    out = _windowed(
+    value = F.col("value_as_number")
+    daily = _daily(
+        near_index(cohort, cdm["measurement"], "measurement_date", LONG_TERM),
+        "measurement_concept_id",
+        "measurement_date",
+        flags={
+            "measurement_below": value < F.col("range_low"),
+            "measurement_above": value > F.col("range_high"),
+        },
+    )
+    return _windowed(
         cohort,
         daily,
         {"measurement_long": LONG_TERM, "measurement_short": SHORT_TERM},
         {"measurement_count_long": LONG_TERM},
+        {"measurement_below": LONG_TERM, "measurement_above": LONG_TERM},
     )
-    for name, held in (
-        ("measurement_below", F.col("value_as_number") < F.col("range_low")),
-        ("measurement_above", F.col("value_as_number") > F.col("range_high")),
-    ):
-        outside = _daily(table.filter(held), "measurement_concept_id", "measurement_date")
-        out = out.unionByName(_windowed(cohort, outside, {name: LONG_TERM}))
-    return out
 
 
 def score_covariate(cohort: DataFrame, score: DataFrame, analysis: str) -> DataFrame:
@@ -253,14 +274,32 @@ def score_covariate(cohort: DataFrame, score: DataFrame, analysis: str) -> DataF
     )
 
 
+# An interaction id is (covariate id * 1000 + year - 1900) * 1000 + this analysis id.
+YEAR_INTERACTION = 990
+
+
 def year_interaction(covariates: DataFrame) -> DataFrame:
-    """Each covariate split by index year; the year takes the last four digits of the id."""
+    """Each covariate split by index year; ``base_covariate`` gives the covariate back."""
+    year = F.year("cohort_start_date") - 1900
     return covariates.withColumn(
-        "covariate_id", F.col("covariate_id") * 10000 + F.year("cohort_start_date")
+        "covariate_id", (F.col("covariate_id") * 1000 + year) * 1000 + YEAR_INTERACTION
     )
 
 
-def all_families(cohort: DataFrame, cdm: Cdm, group_concepts: DataFrame) -> DataFrame:
+def base_covariate(ids: Column) -> Column:
+    """The covariate id itself, or the one an interaction was made from."""
+    return F.when(ids % 1000 == YEAR_INTERACTION, F.floor(ids / 1_000_000)).otherwise(ids)
+
+
+def all_families(
+    cohort: DataFrame,
+    cdm: Cdm,
+    group_concepts: DataFrame,
+    scores: dict[str, DataFrame] | None = None,
+    by_year: bool = False,
+) -> DataFrame:
+    """Every family in one table; ``scores`` are risk scores by analysis name, ``by_year`` adds the
+    interaction of everything with the index year."""
     parts = [
         demographics(cohort, cdm["person"]),
         conditions(cohort, cdm),
@@ -272,8 +311,10 @@ def all_families(cohort: DataFrame, cdm: Cdm, group_concepts: DataFrame) -> Data
         procedures(cohort, cdm),
         observations(cohort, cdm),
         measurements(cohort, cdm),
+        *[score_covariate(cohort, score, name) for name, score in (scores or {}).items()],
     ]
-    return reduce(DataFrame.unionByName, parts)
+    out = reduce(DataFrame.unionByName, parts)
+    return out.unionByName(year_interaction(out)) if by_year else out
 
 
 def exclude_concepts(covariates: DataFrame, ids: DataFrame, ancestor: DataFrame) -> DataFrame:
@@ -286,26 +327,37 @@ def exclude_concepts(covariates: DataFrame, ids: DataFrame, ancestor: DataFrame)
         .union(ids.select("concept_id"))
         .distinct()
     )
-    concept = F.floor(F.col("covariate_id") / 1000)
+    base = base_covariate(F.col("covariate_id"))
     # Person and date covariates number their values from 1 on; only record covariates hold concepts.
     return (
-        covariates.withColumn(
-            "concept_id", F.when(F.col("covariate_id") % 1000 > 100, concept)
-        )
+        covariates.withColumn("concept_id", F.when(base % 1000 > 100, F.floor(base / 1000)))
         .join(gone, "concept_id", "left_anti")
         .drop("concept_id")
     )
 
 
-def drop_rare(covariates: DataFrame, min_subjects: int = 100) -> DataFrame:
-    """Drop covariates that fewer than ``min_subjects`` subjects have."""
-    common = (
-        covariates.groupBy("covariate_id")
+def drop_rare(
+    covariates: DataFrame, comparisons: DataFrame, min_subjects: int = 100
+) -> DataFrame:
+    """Covariates of each comparison (``target_id, comparator_id``) that at least ``min_subjects``
+    subjects of its two arms have. ``comparisons`` is the caller's short list.
+    """
+    pair = ["target_id", "comparator_id"]
+    arms = F.broadcast(
+        comparisons.select(*pair)
+        .distinct()
+        .select(*pair, F.explode(F.array(*pair)).alias("cohort_definition_id"))
+    )
+    paired = covariates.join(arms, "cohort_definition_id")
+    common = cut(
+        paired.groupBy(*pair, "covariate_id")
         .agg(F.count_distinct("subject_id").alias("subjects"))
         .filter(F.col("subjects") >= min_subjects)
-        .select("covariate_id")
+        .select(*pair, "covariate_id")
+    )
+    return paired.join(small_side(common), [*pair, "covariate_id"], "left_semi").select(
+        *pair, *covariates.columns
     )
-    return covariates.join(small_side(common), "covariate_id", "left_semi")
 
 
 def drop_listed(covariates: DataFrame, ids: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Greedy caliper matching on the propensity score, distributed.
 
-Subjects first collapse to one row per distinct score and arm, so ties cost nothing however many
-subjects share a score. Two score groups are matched when each is the other's best partner under
-one strict order (distance, mixed key, scores). Such partners are neighbours in the sorted scores,
-and matching all of them per round gives the same pairs as going through all pairs by that order
-one after the other.
+Subjects first collapse to one row per distinct score and arm. Each group picks its best partner
+under one strict order (distance, mixed key, scores); best partners are neighbours in the sorted
+scores. A group accepts those that picked it, in its own order, until its subjects are used up or a
+nearer partner comes that picked another group. So a score that many subjects share takes all its
+partners in one round, and the pairs are those of going through all pairs by that order one after
+the other.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from __future__ import annotations
 import logging
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from twinarm.operators.ranking import id_slice, sliced_row_number
-from twinarm.session import cut
+from twinarm.operators.ranking import id_range, sliced_row_number
+from twinarm.session import cut, small_side
 
 # Scores are compared as integers in units of 1e-9.
 SCORE_UNIT = 1_000_000_000
@@ -43,14 +45,17 @@ def _scored(scored: DataFrame, keys: list[str], caliper: float, scale: str) -> D
 
 
 def _buckets(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Score ranges that hold about equally many distinct scores each, ``bucket`` per group."""
-    total = groups.count()
-    parts = min(2000, total // GROUPS_PER_BUCKET)
+    """Score ranges that hold about equally many distinct scores each, ``bucket`` per group. Their
+    number follows the largest model."""
+    largest = groups.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    parts = largest // GROUPS_PER_BUCKET
     if parts == 0:
         return groups.withColumn("bucket", F.lit(0))
     shares = [(i + 1) / (parts + 1) for i in range(parts)]
-    bounds = groups.groupBy(*keys).agg(
-        F.percentile_approx("score", shares, 100 * (parts + 1)).alias("bounds")
+    bounds = small_side(
+        groups.groupBy(*keys).agg(
+            F.percentile_approx("score", shares, 100 * (parts + 1)).alias("bounds")
+        )
     )
     return (
         groups.join(bounds, keys)
@@ -59,8 +64,12 @@ def _buckets(groups: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _mix(t: Column, c: Column) -> Column:
+    return F.pmod(t * MIX_T + c * MIX_C, F.lit(MIX_MOD))
+
+
 def _round(state: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per score group and arm: its best partner and how many of it are matched now."""
+    """Pairs of score groups matched now, ``(keys, t_score, c_score, matched)``."""
     place = [*keys, "bucket"]
     upward = Window.partitionBy(*place).orderBy("score").rowsBetween(
         Window.unboundedPreceding, -1
@@ -109,7 +118,7 @@ def _round(state: DataFrame, keys: list[str]) -> DataFrame:
         t = F.when(treated, F.col("score")).otherwise(other)
         c = F.when(treated, other).otherwise(F.col("score"))
         distance = F.abs(t - c)
-        mix = F.pmod(t * MIX_T + c * MIX_C, F.lit(MIX_MOD))
+        mix = _mix(t, c)
         return F.when(
             distance <= F.col("width"),
             F.struct(
@@ -120,27 +129,74 @@ def _round(state: DataFrame, keys: list[str]) -> DataFrame:
             ),
         )
 
-    chosen = near.withColumn("best", F.least(pair(low), pair(high))).filter(
-        F.col("best").isNotNull()
+    picked = near.withColumn("low_seen", low).withColumn("high_seen", high).withColumn(
+        "best", F.least(pair(F.col("low_seen")), pair(F.col("high_seen")))
+    )
+    other = F.when(treated, F.col("best.c_score")).otherwise(F.col("best.t_score"))
+    picked = picked.withColumn("other", other)
+    # The nearest partner on each side that picked another group: one that looks the other way, or
+    # the first one behind the next group of the own arm. What lies outside the bucket counts as such.
+    upwards = F.coalesce(F.col("other") > F.col("score"), F.lit(False))
+    downwards = F.coalesce(F.col("other") < F.col("score"), F.lit(False))
+
+    def elsewhere(window, towards, seen, outside_t, outside_c, nearer):
+        def of(arm: int, outside: str):
+            away = F.last(F.when((F.col("treatment") == arm) & ~towards, F.col("score")), True)
+            behind = F.last(F.when(F.col("treatment") == 1 - arm, F.col(seen)), True)
+            return nearer(away.over(window), F.coalesce(behind.over(window), F.col(outside)))
+
+        return F.when(treated, of(0, outside_c)).otherwise(of(1, outside_t))
+
+    picked = picked.withColumn(
+        "stop_low", elsewhere(upward, upwards, "low_seen", "below_t", "below_c", F.greatest)
+    ).withColumn(
+        "stop_high", elsewhere(downward, downwards, "high_seen", "above_t", "above_c", F.least)
+    )
+    picked = picked.withColumn(
+        "stop", F.least(pair(F.col("stop_low")), pair(F.col("stop_high")))
     )
-    # A pair both of whose ends chose it has two rows, never more.
-    both = Window.partitionBy(*keys, "best.t_score", "best.c_score")
+    # Each group once as host, and once under the group it picked.
+    none = F.lit(None)
+    hosts = picked.select(
+        *keys,
+        F.col("treatment").alias("arm"),
+        F.col("score").alias("host"),
+        F.col("size").alias("room"),
+        "stop",
+        F.col("best").alias("own"),
+        none.cast(picked.schema["best"].dataType).alias("best"),
+        none.cast("long").alias("size"),
+    )
+    suitors = picked.filter("best is not null").select(
+        *keys,
+        (1 - F.col("treatment")).alias("arm"),
+        F.col("other").alias("host"),
+        none.cast("long").alias("room"),
+        none.cast(picked.schema["stop"].dataType).alias("stop"),
+        none.cast(picked.schema["best"].dataType).alias("own"),
+        "best",
+        "size",
+    )
+    at_host = Window.partitionBy(*keys, "arm", "host").orderBy("best")  # the host itself comes first
+    before_me = at_host.rowsBetween(Window.unboundedPreceding, -1)
+    met = (
+        hosts.unionByName(suitors)
+        .withColumn("room", F.first("room").over(at_host))
+        .withColumn("stop", F.first("stop").over(at_host))
+        .withColumn("own", F.first("own").over(at_host))
+        .withColumn("used", F.coalesce(F.sum("size").over(before_me), F.lit(0)))
+        .filter("best is not null")
+    )
+    # A pair that picked each other is the host's first, wherever the partner lies.
+    mutual = F.col("best") == F.col("own")
+    open_to = F.col("stop").isNull() | (F.col("best") < F.col("stop")) | mutual
+    take = F.when(open_to, F.least(F.col("size"), F.col("room") - F.col("used"))).otherwise(0)
+    # Two groups that picked each other meet twice and take the same.
     return (
-        chosen.withColumn("ends", F.count("*").over(both))
-        .withColumn(
-            "matched", F.when(F.col("ends") == 2, F.min("size").over(both)).otherwise(F.lit(0))
-        )
-        .select(
-            *keys,
-            "bucket",
-            "treatment",
-            "score",
-            "size",
-            "width",
-            "matched",
-            F.col("best.t_score").alias("t_score"),
-            F.col("best.c_score").alias("c_score"),
-        )
+        met.withColumn("matched", take)
+        .filter("matched > 0")
+        .groupBy(*keys, F.col("best.t_score").alias("t_score"), F.col("best.c_score").alias("c_score"))
+        .agg(F.max("matched").alias("matched"))
     )
 
 
@@ -174,23 +230,38 @@ def match_groups(groups: DataFrame, keys: list[str]) -> DataFrame:
     number = 0
     while True:
         number += 1
-        step = cut(_round(state, keys))
-        pairs = step.filter("matched > 0 and treatment = 1").withColumn("round", F.lit(number))
+        pairs = cut(_round(state, keys))
         if pairs.isEmpty():
             log.info("matching finished after %d rounds", number)
             break
-        found.append(pairs.select(*columns))
-        state = (
-            step.withColumn("size", F.col("size") - F.col("matched"))
+        found.append(pairs.withColumn("round", F.lit(number)).select(*columns))
+        taken = cut(
+            pairs.select(
+                *keys,
+                F.explode(
+                    F.array(
+                        F.struct(F.lit(1).alias("treatment"), F.col("t_score").alias("score")),
+                        F.struct(F.lit(0).alias("treatment"), F.col("c_score").alias("score")),
+                    )
+                ).alias("g"),
+                "matched",
+            )
+            .groupBy(*keys, "g.treatment", "g.score")
+            .agg(F.sum("matched").alias("matched"))
+        )
+        state = cut(
+            state.join(taken, [*keys, "treatment", "score"], "left")
+            .withColumn("size", F.col("size") - F.coalesce("matched", F.lit(0)))
             .filter("size > 0")
-            .drop("matched", "t_score", "c_score")
+            .drop("matched")
         )
     return reduce(DataFrame.unionByName, found).select(*columns)
 
 
 def _positions(pairs: DataFrame, keys: list[str], side: str) -> DataFrame:
-    """Where each matched pair begins within its score group: pairs in round order, from 0."""
-    order = Window.partitionBy(*keys, side).orderBy("round", "t_score", "c_score")
+    """Where each matched pair begins within its score group: rounds first, then the strict order."""
+    t, c = F.col("t_score"), F.col("c_score")
+    order = Window.partitionBy(*keys, side).orderBy("round", F.abs(t - c), _mix(t, c), t, c)
     return F.sum("matched").over(order) - F.col("matched")
 
 
@@ -214,7 +285,7 @@ def match(
         sliced_row_number(
             rows,
             [*keys, "treatment", "score"],
-            [id_slice("subject_id")],
+            [id_range("subject_id")],
             [F.col("subject_id"), F.col("cohort_start_date")],
             "place",
         ).withColumn("place", F.col("place") - 1)
@@ -293,14 +364,47 @@ def match(
         "t_score",
         F.col("t_from").alias("t_place"),
     )
-    spans_all = treated.unionByName(comparators)
-    joined = rows.join(spans_all, [*keys, "treatment", "score"]).filter(
-        (F.col("place") >= F.col("from_place"))
-        & (F.col("place") < F.col("from_place") + F.col("matched"))
-    )
+    joined = _carry(rows, treated.unionByName(comparators), [*keys, "treatment", "score"])
     stratum = F.concat_ws(
         "-", F.col("t_score"), F.col("t_place") + F.col("place") - F.col("from_place")
     )
     return joined.withColumn("stratum_id", stratum).drop(
         "score", "width", "place", "from_place", "matched", "t_score", "t_place"
     )
+
+
+PLACES = 65_536
+
+
+def _carry(rows: DataFrame, spans: DataFrame, group: list[str]) -> DataFrame:
+    """Rows with the span of places they fall into, by merging both in order of place.
+
+    Groups are cut into ranges of places, and a span goes into each range that it covers, so neither a
+    hot score nor its many spans meet in one window.
+    """
+    last = F.col("from_place") + F.col("matched") - 1
+    parts = F.sequence(F.floor(F.col("from_place") / PLACES), F.floor(last / PLACES))
+    carried = ["from_place", "matched", "t_score", "t_place"]
+    starts = spans.withColumn("part", F.explode(parts)).select(
+        *group,
+        "part",
+        F.greatest(F.col("from_place"), F.col("part") * PLACES).alias("at"),
+        F.lit(0).alias("kind"),
+        F.struct(*carried).alias("span"),
+        F.lit(None).cast(StructType([f for f in rows.schema if f.name not in group])).alias("row"),
+    )
+    places = rows.select(
+        *group,
+        F.floor(F.col("place") / PLACES).alias("part"),
+        F.col("place").alias("at"),
+        F.lit(1).alias("kind"),
+        F.lit(None).cast(starts.schema["span"].dataType).alias("span"),
+        F.struct(*[c for c in rows.columns if c not in group]).alias("row"),
+    )
+    order = Window.partitionBy(*group, "part").orderBy("at", "kind")
+    met = starts.unionByName(places).withColumn("span", F.last("span", True).over(order))
+    return (
+        met.filter("kind = 1 and at < span.from_place + span.matched")
+        .select(*group, "row.*", "span.*")
+        .select(*rows.columns, *carried)
+    )

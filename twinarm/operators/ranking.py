@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 61
+# Ids of one window of a hot group.
+RANGE = 65_536
 
 
 def sliced_row_number(
@@ -15,7 +16,7 @@ def sliced_row_number(
 ) -> DataFrame:
     """1-based position of each row within ``keys``, ordered by ``chunk`` and then ``order``.
 
-    ``chunk`` must take few values per group (a date, a hash slice): only rows of one chunk meet in
+    ``chunk`` must take few values per group (a date, an id range): only rows of one chunk meet in
     one window; the offsets of the chunks come from their counts.
     """
     chunk_names = [f"__chunk_{i}" for i in range(len(chunk))]
@@ -38,6 +39,7 @@ def sliced_row_number(
     )
 
 
-def id_slice(column: str) -> Column:
-    """Deterministic slice of an integer id, used to spread one hot group over many tasks."""
-    return F.pmod(F.col(column), F.lit(SLICES))
+def id_range(column: str) -> Column:
+    """Range that an integer id falls into: rises with the id, so it can stand before the id in an
+    order without changing it, and holds a bounded number of distinct ids."""
+    return F.floor(F.col(column) / RANGE)

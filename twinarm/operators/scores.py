@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinarm.operators.reach import near_index
 from twinarm.session import small_side
 
 FEMALE = 8532
@@ -70,7 +71,8 @@ def weighted_score(
     at score 0. Eras shrink to one first date per person and category before they meet the cohort.
     """
     entries = cohort.select("cohort_definition_id", "subject_id", "cohort_start_date").distinct()
-    tagged = eras.join(
+    near = near_index(entries, eras, "condition_era_start_date")
+    tagged = near.join(
         small_side(categories),
         F.col("condition_concept_id") == F.col("concept_id"),
         "left" if keep_any_history else "inner",
