@@ -122,12 +122,12 @@ def pairs_query(study):
 
 
 @query(
-    "m2_cox_newton",
+    "m2_cox_iterative",
     f"SELECT {MODEL_SQL}, round(log_rr, 3) AS log_rr, round(se_log_rr, 3) AS se_log_rr FROM fits",
 )
 def iterative(study):
     """The iterative Cox fit without covariates must agree with the closed form."""
-    fitted = cox_grid(exact_matched(study), tolerance=1e-9)
+    fitted = cox_grid(exact_matched(study), tolerance=1e-9).drop("converged", "iterations")
     return fitted.withColumn("log_rr", F.round("log_rr", 3)).withColumn(
         "se_log_rr", F.round("se_log_rr", 3)
     )
@@ -176,7 +176,9 @@ VIEWS["posterior"] = f"""
           FROM (SELECT analysis_id, target_id, comparator_id, point, mu, sigma,
                        sum(-0.5 * ln(sigma * sigma + se_log_rr * se_log_rr)
                            - (log_rr - mu) * (log_rr - mu)
-                             / (2 * (sigma * sigma + se_log_rr * se_log_rr))) AS loglik
+                             / (2 * (sigma * sigma + se_log_rr * se_log_rr)))
+                           + ln(any_value(sigma))
+                           - pow(any_value(sigma), 2) / (2 * {GRID.sigma_scale**2}) AS loglik
                 FROM total_summary, grid_points
                 WHERE outcome_id IN ({", ".join(map(str, design.CONTROLS))}) GROUP BY ALL))"""
 VIEWS["null_model"] = """
@@ -192,12 +194,11 @@ def p_sql(z):
 
 
 VIEWS["calibrated"] = f"""
-    SELECT s.*, {p_sql("z")} AS calibrated_p, lb AS calibrated_p_lb95ci, ub AS calibrated_p_ub95ci
-    FROM (SELECT t.*, n.null_mean, n.null_sd,
-                 (log_rr - null_mean) / sqrt(null_sd * null_sd + se_log_rr * se_log_rr) AS z
-          FROM total_summary t JOIN null_model n USING (analysis_id, target_id, comparator_id)) s
+    SELECT t.*, med AS calibrated_p, lb AS calibrated_p_lb95ci, ub AS calibrated_p_ub95ci,
+           n.null_mean, n.null_sd
+    FROM total_summary t JOIN null_model n USING (analysis_id, target_id, comparator_id)
     JOIN (SELECT target_id, comparator_id, outcome_id, min(p) FILTER (reached >= 0.025) AS lb,
-                 min(p) FILTER (reached >= 0.975) AS ub
+                 min(p) FILTER (reached >= 0.5) AS med, min(p) FILTER (reached >= 0.975) AS ub
           FROM (SELECT *, sum(weight) OVER (PARTITION BY {MODEL_SQL} ORDER BY p, point) AS reached
                 FROM (SELECT {MODEL_SQL}, weight, point, {p_sql("z")} AS p
                       FROM (SELECT t.target_id, t.comparator_id, t.outcome_id, q.weight, q.point,

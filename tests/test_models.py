@@ -57,6 +57,13 @@ def test_only_treated_events_give_null(frame):
         [(1, 2, 9, 1, 1, "2000-01-01", "a", 5, 1, 9), (1, 2, 9, 0, 2, "2000-01-01", "a", 9, 0, 9)], POP
     )
     assert cox_pairs(matched).first().log_rr is None
+    row = cox_grid(matched).first()
+    assert row.log_rr is None and row.se_log_rr is None and not row.converged
+
+
+def test_an_unconverged_fit_says_so(frame):
+    row = cox_grid(frame(pairs(frame, 60)[0], POP), max_iter=1, tolerance=1e-12).first()
+    assert not row.converged and row.iterations == 1 and row.log_rr is None
 
 
 def test_partner_censored_before_event_and_tied_events(frame):
@@ -79,7 +86,9 @@ def test_cox_with_covariate_meets_the_penalised_optimum(frame):
         "covariate_value double",
     )
     l1 = 2.0
-    ((beta, se),) = cox(frame(rows, POP), cov, l1=l1, tolerance=1e-9).values()
+    (fit,) = cox(frame(rows, POP), cov, l1=l1, tolerance=1e-9).values()
+    beta, se = fit.beta, fit.se
+    assert fit.converged and fit.iterations > 1
     best = (beta[TREATMENT], beta[77])
     goal = lambda b: neg_loglik(rows, x, b) + l1 * abs(b[1])
     at = goal(best)
@@ -114,6 +123,27 @@ def test_calibration_moves_p_towards_the_controls(frame):
         assert 0 <= r.calibrated_p_lb95ci <= r.calibrated_p_ub95ci <= 1
 
 
+def test_calibration_hardly_moves_with_the_ends_of_the_grid(frame):
+    rng = np.random.default_rng(5)
+    controls = [("1", 1, 2, 100 + i, float(rng.normal(0.1, 0.2) + rng.normal(0, 0.3)), 0.3) for i in range(30)]
+    summary = frame([*controls, ("1", 1, 2, 9, 0.7, 0.3)], SUMMARY)
+    got = []
+    for low in (0.001, 0.01, 0.03):
+        grid = K.Grid(sigma_low=low)
+        out = K.calibrate(summary, K.null_posterior(frame(controls, SUMMARY), grid), grid)
+        row = out.filter("outcome_id = 9").first()
+        assert row.calibrated_p_lb95ci <= row.calibrated_p <= row.calibrated_p_ub95ci
+        got.append(row.calibrated_p)
+    assert max(got) - min(got) < 0.01
+
+
+def test_a_grid_that_is_too_narrow_fails(frame):
+    controls = [("1", 1, 2, 100 + i, 5.0, 0.1) for i in range(5)]
+    post = K.null_posterior(frame(controls, SUMMARY))
+    with pytest.raises(Exception, match="edge of the grid"):
+        K.null_distribution(post).collect()
+
+
 def test_complete_cases_and_rates(frame):
     summary = frame([("1", 1, 2, 9, 0.5, 0.1), ("1", 1, 2, 10, None, 0.1), ("1", 1, 2, 11, float("nan"), 0.1),
                      ("1", 1, 2, 12, 0.1, float("inf"))], SUMMARY)

@@ -1,7 +1,8 @@
 """Empirical calibration against negative controls.
 
-The systematic error of a comparison is N(mu, sigma^2). Its posterior is taken on a fixed grid:
-mu uniform, sigma uniform on the log scale between the grid ends.
+The systematic error of a comparison is N(mu, sigma^2). Its posterior is taken on a fixed grid with
+mu uniform and sigma half-normal. Points of sigma lie evenly on the log scale, so each carries its
+sigma as a weight; the low end of the grid then holds next to nothing, wherever it lies.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ class Grid:
     sigma_low: float = 0.01
     sigma_high: float = 2.0
     sigma_points: int = 100
+    sigma_scale: float = 0.5  # of the half-normal prior
 
     def mu(self, i: Column) -> Column:
         step = (self.mu_high - self.mu_low) / (self.mu_points - 1)
@@ -56,6 +58,8 @@ def null_posterior(controls: DataFrame, grid: Grid = Grid()) -> DataFrame:
     error = F.col("log_rr") - mu
     likelihood = -0.5 * F.log(variance) - error * error / (2.0 * variance)
     summed = points.groupBy(*COMPARISON, "point").agg(F.sum(likelihood).alias("loglik"))
+    prior = F.log(sigma) - sigma * sigma / F.lit(2.0 * grid.sigma_scale**2)
+    summed = summed.withColumn("loglik", F.col("loglik") + prior)
     peak = summed.groupBy(*COMPARISON).agg(F.max("loglik").alias("peak"))
     weighted = summed.join(peak, COMPARISON).withColumn(
         "weight", F.exp(F.col("loglik") - F.col("peak"))
@@ -70,26 +74,40 @@ def null_posterior(controls: DataFrame, grid: Grid = Grid()) -> DataFrame:
     )
 
 
-def null_distribution(posterior: DataFrame) -> DataFrame:
-    """Posterior mean, and sd as one over the root of the mean precision."""
+# Share of the posterior that may lie on the outer points of the grid.
+EDGE_MASS = 0.05
+
+
+def null_distribution(posterior: DataFrame, grid: Grid = Grid()) -> DataFrame:
+    """Posterior mean, and sd as one over the root of the mean precision.
+
+    Fails where more than ``EDGE_MASS`` of a posterior lies on the ends of mu or the upper end of
+    sigma: the grid is too narrow then, and every number taken from it is wrong.
+    """
     w, sigma = F.col("weight"), F.col("sigma")
-    return posterior.groupBy(*COMPARISON).agg(
+    i, j = F.floor(F.col("point") / grid.sigma_points), F.col("point") % grid.sigma_points
+    outer = (i == 0) | (i == grid.mu_points - 1) | (j == grid.sigma_points - 1)
+    found = posterior.groupBy(*COMPARISON).agg(
         F.sum(w * F.col("mu")).alias("null_mean"),
         (1.0 / F.sqrt(F.sum(w / (sigma * sigma)))).alias("null_sd"),
+        F.sum(F.when(outer, w).otherwise(0.0)).alias("edge"),
+    )
+    told = F.concat_ws(" ", F.lit("posterior on the edge of the grid:"), *COMPARISON, "edge")
+    return found.select(
+        *COMPARISON,
+        F.when(F.col("edge") > EDGE_MASS, F.raise_error(told).cast("double"))
+        .otherwise(F.col("null_mean"))
+        .alias("null_mean"),
+        "null_sd",
     )
 
 
-def calibrate(summary: DataFrame, posterior: DataFrame) -> DataFrame:
-    """Calibrated p under the mean systematic error, with bounds over the grid posterior.
+def calibrate(summary: DataFrame, posterior: DataFrame, grid: Grid = Grid()) -> DataFrame:
+    """Calibrated p: the median, and as bounds the 2.5% and 97.5% points, of p over the posterior.
 
-    The bounds are the 2.5% and 97.5% points of p over the grid; an estimate meets one row per grid
-    point of its comparison.
+    An estimate meets one row per grid point of its comparison.
     """
-    null = null_distribution(posterior)
     keys = [*COMPARISON, "outcome_id"]
-    variance = F.col("null_sd") * F.col("null_sd") + F.col("se_log_rr") * F.col("se_log_rr")
-    z = (F.col("log_rr") - F.col("null_mean")) / F.sqrt(variance)
-    centre = summary.join(null, COMPARISON).withColumn("calibrated_p", two_sided_p(z))
     spread = F.col("sigma") * F.col("sigma") + F.col("se_log_rr") * F.col("se_log_rr")
     point_z = (F.col("log_rr") - F.col("mu")) / F.sqrt(spread)
     points = (
@@ -98,21 +116,24 @@ def calibrate(summary: DataFrame, posterior: DataFrame) -> DataFrame:
         .select(*keys, "weight", "point", two_sided_p(point_z).alias("p"))
     )
     reached = F.sum("weight").over(Window.partitionBy(*keys).orderBy("p", "point"))
-    bounds = (
-        points.withColumn("reached", reached)
-        .groupBy(*keys)
-        .agg(
-            F.min(F.when(F.col("reached") >= 0.025, F.col("p"))).alias("calibrated_p_lb95ci"),
-            F.min(F.when(F.col("reached") >= 0.975, F.col("p"))).alias("calibrated_p_ub95ci"),
-        )
+
+    def at(share: float, name: str) -> Column:
+        return F.min(F.when(F.col("reached") >= share, F.col("p"))).alias(name)
+
+    found = points.withColumn("reached", reached).groupBy(*keys).agg(
+        at(0.5, "calibrated_p"), at(0.025, "calibrated_p_lb95ci"), at(0.975, "calibrated_p_ub95ci")
     )
-    return centre.join(bounds, keys, "left").select(
-        *summary.columns,
-        "calibrated_p",
-        "calibrated_p_lb95ci",
-        "calibrated_p_ub95ci",
-        "null_mean",
-        "null_sd",
+    return (
+        summary.join(null_distribution(posterior, grid), COMPARISON)
+        .join(found, keys, "left")
+        .select(
+            *summary.columns,
+            "calibrated_p",
+            "calibrated_p_lb95ci",
+            "calibrated_p_ub95ci",
+            "null_mean",
+            "null_sd",
+        )
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import math
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,7 +66,9 @@ class _Fit:
     loss: float = 0.0
     information: float = 0.0
     step: float = 1.0
+    iterations: int = 0
     done: bool = False
+    known: bool = False  # both arms have an event while the other is at risk
 
     def propose(self, l1: float) -> None:
         self.trial = {}
@@ -79,6 +82,7 @@ class _Fit:
         self, loss: float, gradient: dict[int, float], information: float, l1: float, tolerance: float
     ) -> None:
         """Accept the trial if it descends enough, else halve the step."""
+        self.iterations += 1
         shift = {k: v - self.beta.get(k, 0.0) for k, v in self.trial.items()}
         length = sum(d * d for d in shift.values())
         bound = (
@@ -98,6 +102,19 @@ class _Fit:
         self.step = length / bend if bend > 0 else self.step * 2.0
 
 
+class CoxFit(NamedTuple):
+    """Coefficients by covariate id, standard error on treatment, and how the descent ended.
+
+    ``se`` is None where the treatment coefficient has no finite optimum, or where the descent did not
+    converge.
+    """
+
+    beta: dict[int, float]
+    se: float | None
+    converged: bool
+    iterations: int
+
+
 def _penalty(beta: dict[int, float], l1: float) -> float:
     return l1 * sum(abs(v) for k, v in beta.items() if k != TREATMENT)
 
@@ -156,6 +173,7 @@ def _evaluate(
         F.sum("w").alias("day_w"),
         F.sum(F.col("w") * F.col("treatment")).alias("day_wt"),
         F.sum("event").alias("d"),
+        F.sum(F.col("event") * F.col("treatment")).alias("dt"),
     )
     later = Window.partitionBy(*place).orderBy(F.col("survival_time").desc())
     earlier = Window.partitionBy(*place).orderBy("survival_time")
@@ -167,6 +185,9 @@ def _evaluate(
     totals = risk.groupBy(*MODEL).agg(
         F.sum(F.col("d") * F.log("at_risk")).alias("value"),
         F.sum(F.col("d") * share * (1.0 - share)).alias("information"),
+        # Events of either arm while somebody of the other arm is at risk.
+        F.sum(F.when(F.col("treated_at_risk") < F.col("at_risk") * (1 - 1e-12), F.col("dt"))).alias("told_t"),
+        F.sum(F.when(F.col("treated_at_risk") > 0, F.col("d") - F.col("dt"))).alias("told_c"),
     )
     residuals = scored.join(
         risk.select(*place, "survival_time", "hazard"), [*place, "survival_time"]
@@ -175,14 +196,15 @@ def _evaluate(
         long.join(residuals, [*MODEL, "row_key"])
         .groupBy(*MODEL, "covariate_id")
         .agg(F.sum(F.col("covariate_value") * F.col("residual")).alias("value"))
-        .withColumn("information", F.lit(None).cast("double"))
+        .withColumns({n: F.lit(None).cast("double") for n in ("information", "told_t", "told_c")})
     )
     found = totals.withColumn("covariate_id", F.lit(None).cast("long")).unionByName(slopes)
-    out = {m: {"log_risk": 0.0, "information": 0.0, "gradient": {}} for m in betas}
+    out = {m: {"log_risk": 0.0, "information": 0.0, "known": False, "gradient": {}} for m in betas}
     for r in found.collect():
         model = out[tuple(r[k] for k in MODEL)]
         if r.covariate_id is None:
             model["log_risk"], model["information"] = r.value or 0.0, r.information or 0.0
+            model["known"] = bool(r.told_t and r.told_c)
         else:
             model["gradient"][r.covariate_id] = -r.value
     return out
@@ -194,15 +216,15 @@ def cox(
     l1: float = 1.0,
     max_iter: int = 100,
     tolerance: float = 1e-6,
-    max_covariates: int = 100_000,
-) -> dict[tuple, tuple[dict[int, float], float | None]]:
+) -> dict[tuple, CoxFit]:
     """Coefficients and standard error on treatment of every model of the grid.
 
     Cox models stratified on matched sets, fitted together by L1-penalised proximal gradient with a
     backtracked step; the treatment coefficient (covariate id 0) is not penalised. Each iteration is
-    one Spark job for all models still moving. The driver holds coefficients only, and their number
-    is checked. The standard error comes from the information on treatment with the other
-    coefficients held fixed.
+    one Spark job for all models still moving. The driver holds the coefficients of all models and
+    nothing else. The standard error comes from the information on treatment with the other
+    coefficients held fixed. A model whose arms do not both have an event while the other arm is at
+    risk has no finite optimum and is not fitted.
     """
     spark = matched.sparkSession
     rows = cut(
@@ -222,9 +244,6 @@ def cox(
         .groupBy(*MODEL, "covariate_id")
         .agg(F.sum("covariate_value").alias("carried"))
     )
-    width = long.select(*MODEL, "covariate_id").distinct().count()
-    if width > max_covariates:
-        raise ValueError(f"{width} coefficients; drop rare covariates first")
     linear: dict[tuple, dict[int, float]] = {}
     for r in carried.collect():
         linear.setdefault(tuple(r[k] for k in MODEL), {})[r.covariate_id] = r.carried
@@ -241,8 +260,9 @@ def cox(
         fit.loss, fit.gradient = state["log_risk"], state["gradient"]
         fit.information = state["information"]
         fit.step = 1.0 / max(fit.information, 1.0)
-    for iteration in range(max_iter):
-        moving = {m: f for m, f in fits.items() if not f.done}
+        fit.known = state["known"]
+    for _ in range(max_iter):
+        moving = {m: f for m, f in fits.items() if f.known and not f.done}
         if not moving:
             break
         for fit in moving.values():
@@ -253,20 +273,26 @@ def cox(
             fit = fits[model]
             loss = loss_of(model, fit.trial, state["log_risk"])
             fit.settle(loss, state["gradient"], state["information"], l1, tolerance)
-    log.info("Cox models stopped after %d iterations", iteration + 1)
-    return {
-        m: (f.beta, 1.0 / math.sqrt(f.information) if f.information > 0 else None)
-        for m, f in fits.items()
-    }
+    open_ones = sum(f.known and not f.done for f in fits.values())
+    if open_ones:
+        log.warning("%d of %d Cox models did not converge in %d iterations", open_ones, len(fits), max_iter)
+
+    def se(fit: _Fit) -> float | None:
+        good = fit.known and fit.done and fit.information > 0
+        return 1.0 / math.sqrt(fit.information) if good else None
+
+    return {m: CoxFit(f.beta, se(f), f.done, f.iterations) for m, f in fits.items()}
 
 
 def cox_grid(matched: DataFrame, covariates: DataFrame | None = None, **options) -> DataFrame:
-    """``cox`` as one row of ``log_rr`` and ``se_log_rr`` per model."""
+    """``cox`` as one row per model: ``log_rr`` and ``se_log_rr``, NULL where there is no estimate, and
+    whether and after how many iterations the fit converged."""
     fitted = [
-        (*model, beta.get(TREATMENT) if se is not None else None, se)
-        for model, (beta, se) in cox(matched, covariates, **options).items()
+        (*model, f.beta.get(TREATMENT) if f.se is not None else None, f.se, f.converged, f.iterations)
+        for model, f in cox(matched, covariates, **options).items()
     ]
     return matched.sparkSession.createDataFrame(
         fitted,
-        "target_id long, comparator_id long, outcome_id long, log_rr double, se_log_rr double",
+        "target_id long, comparator_id long, outcome_id long, log_rr double, se_log_rr double, "
+        "converged boolean, iterations int",
     )
