@@ -4,7 +4,7 @@ A shard is an Arrow batch. Its words become numbers of the benchmark's vocabular
 words too short for any phrase can't hold one and stay out of the index. All phrases are searched
 backwards at once, their occurrences located through sampled positions, and hit words merged into
 spans. The benchmark reaches the tasks in parts of bounded size; more parts mean more passes over a
-batch's row, whose spans are merged as they pass, without a shuffle.
+row, whose spans are merged as they pass, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from twinarm.llm import words
 from twinarm.llm.fm_index import FMIndex
+from twinarm.llm.storage import stage
 
 WINDOW = 13
 #: Benchmark bytes that are broadcast at once; a larger benchmark takes several passes.
@@ -165,6 +166,8 @@ def phrase_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     parts = max(1, -(-size // part_bytes))
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
+        if part and not rows:
+            continue
         yield Phrases([(r["id"], r["text"]) for r in rows], window)
 
 
@@ -182,7 +185,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     now = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     first = True
     for phrases in phrase_parts(benchmark, item_col, item_text_col, window, part_bytes):
-        source = now if first else now.select("id", "text", "items", "word_spans")
+        # The results of a pass are written before the next one, so the plan stays flat.
+        source = now if first else stage(now.select("id", "text", "items", "word_spans"))
         now = source.mapInArrow(_scanner(spark.sparkContext.broadcast(phrases)), SCHEMA)
         first = False
     return now.drop("text")

@@ -22,8 +22,9 @@ from twinarm.llm import words
 ORDER = 3
 #: Training documents for each language; a hash of id and text picks them where there are more.
 SAMPLE = 2000
-#: A text that costs more bits a byte than this in every language is like none of them.
-MOST_BITS = 6.0
+#: A text that costs more bits a byte than this in every language is like none of them, if it does so
+#: by SURE_BITS in all: a short text with one odd word in it does not.
+MOST_BITS, SURE_BITS = 6.0, 512.0
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -167,7 +168,7 @@ def decide(model: Model, column: pa.Array, most_bits: float) -> tuple[list[str],
     low = bits[np.arange(len(size)), best]
     posterior = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000.0)).sum(axis=1)
     names = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-    return names, np.where(known, posterior, 0.0), known & (low <= most_bits * np.maximum(size, 1))
+    return names, np.where(known, posterior, 0.0), known & (low <= most_bits * size + SURE_BITS)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
