@@ -34,8 +34,10 @@ HEADLINE = (
     "p5_study_population",
     "p9_match_exact",
     "p9_match_caliper",
+    "p10_match_ratio",
     "p11_balance",
     "m1_cox_pairs",
+    "m2_cox_iterative",
     "m8_null_grid",
     "m9_calibrated_p",
     "r1_km",
