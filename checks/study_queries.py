@@ -12,6 +12,7 @@ from twinarm.operators import history as H
 from twinarm.operators import matching as M
 from twinarm.operators import population as P
 from twinarm.operators import propensity as PS
+from twinarm.operators.families import ENTRY
 from twinarm.operators.demographics import age_groups
 
 MODEL = P.MODEL
@@ -213,14 +214,43 @@ def full_population(study):
     return P.study_population(pairs(study), grid(study), outcome_rows(study))
 
 
-@query("p6_propensity")
+@query(
+    "p6_propensity",
+    f"""SELECT {MODEL_SQL}, count(*) AS subjects, sum(treatment) AS mean_ps_times_subjects,
+               true AS converged, 0 AS broken_conditions
+        FROM population GROUP BY {MODEL_SQL}""",
+)
 def propensity(study):
-    """L1 logistic scores of one model; numerics of the solver are not comparable in SQL."""
-    mine = population(study).filter("target_id = 1 and outcome_id = 11")
-    return PS.propensity(
-        mine, covariates(study), variances=(0.01, 0.1), folds=2, max_iter=25, tolerance=1e-5
-    ).select(
-        *MODEL, *P.ROW, F.round("ps", 4).alias("ps")
+    """L1 logistic scores of every model on all families. What SQL can tell: an intercept that is not
+    penalised makes the mean score the treated share, and no optimality condition is broken."""
+    pop, cov = population(study), covariates(study)
+    scored, fits, coefficients = PS.propensity_fits(pop, cov, repetitions=1)
+    # Conditions from the scores alone: gradients by covariate, against the penalty of the fit.
+    rows = PS.entry_of(scored).select(*MODEL, *ENTRY, (F.col("ps") - F.col("treatment")).alias("residual"))
+    largest = rows.join(cov, ENTRY).groupBy(*MODEL, "covariate_id").agg(
+        F.max(F.abs("covariate_value")).alias("largest"),
+        F.sum(F.col("covariate_value") * F.col("residual")).alias("slope"),
+    )
+    sizes = scored.groupBy(*MODEL).agg(F.count("*").alias("subjects"), F.sum("ps").alias("all_ps"))
+    told = (
+        largest.filter("largest > 0")
+        .join(coefficients, [*MODEL, "covariate_id"], "left")
+        .join(F.broadcast(fits), MODEL)
+        .join(F.broadcast(sizes), MODEL)
+    )
+    slope, penalty = F.col("slope") / F.col("largest"), F.sqrt(2.0 / F.col("variance"))
+    away = F.when(
+        F.coalesce("coefficient", F.lit(0.0)) == 0, F.greatest(F.abs(slope) - penalty, F.lit(0.0))
+    ).otherwise(F.abs(slope + penalty * F.signum("coefficient")))
+    broken = told.groupBy(*MODEL).agg(
+        F.sum(F.when(away > 1e-4 * F.col("subjects"), 1).otherwise(0)).alias("broken_conditions")
+    )
+    # To the nearest subject: the intercept's condition is met far more closely.
+    return (
+        sizes.join(fits.select(*MODEL, "converged"), MODEL)
+        .join(broken, MODEL)
+        .withColumn("mean_ps_times_subjects", F.round("all_ps").cast("long"))
+        .drop("all_ps")
     )
 
 

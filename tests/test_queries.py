@@ -9,8 +9,7 @@ from checks.compare import compare, open_tables
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# Iterative fits: covered by test_models.py and test_study.py.
-SLOW = {"m2_cox_iterative", "p6_propensity"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")

@@ -154,11 +154,37 @@ def model_rows(frame, n=300, seed=2):
 
 def test_propensity_recovers_the_model(frame):
     x, treated, pop, cov = model_rows(frame, 600)
-    scored = {r.subject_id: r.ps for r in
-              PS.propensity(pop, cov, variances=(1.0, 10.0), folds=2, max_iter=30).collect()}
-    ps = np.array([scored[i] for i in range(len(treated))])
-    assert ps[x[:, 0] & ~x[:, 1]].mean() > 0.65 > 0.45 > ps[~x[:, 0] & x[:, 1]].mean()
-    assert abs(ps.mean() - treated.mean()) < 0.02
+    # A second model with the arms of the first swapped, fitted in the same passes.
+    other = pop.withColumn("target_id", F.lit(2).cast("long")).withColumn("comparator_id", F.lit(1).cast("long")).withColumn(
+        "treatment", 1 - F.col("treatment"))
+    scored, fits, coefficients = PS.propensity_fits(pop.unionByName(other), cov, variances=(0.01, 1.0, 10.0), folds=3, repetitions=2, tolerance=1e-5)
+    rows = scored.filter("target_id = 1").collect()
+    ps = np.zeros(len(treated))
+    for r in rows:
+        ps[r.subject_id] = r.ps
+    assert len(rows) == len(treated) and ps[x[:, 0] & ~x[:, 1]].mean() > 0.65 > 0.45 > ps[~x[:, 0] & x[:, 1]].mean()
+    assert abs(ps.mean() - treated.mean()) < 1e-4
+    mirrored = {r.subject_id: r.ps for r in scored.filter("target_id = 2").collect()}
+    assert all(abs(mirrored[i] + ps[i] - 1) < 1e-2 for i in range(len(treated)))
+    fit = fits.filter("target_id = 1").first()
+    assert fit.converged and fit.violation <= 1e-5 and fit.variance > 0.01
+    beta = {r.covariate_id: r.coefficient for r in coefficients.filter("target_id = 1").collect()}
+    eta = beta[0] + x @ np.array([beta.get(j + 1, 0.0) for j in range(3)])
+    assert np.allclose(1 / (1 + np.exp(-eta)), ps)
+    # The optimum of the penalised likelihood, by its conditions.
+    penalty = math.sqrt(2 / fit.variance)
+    for j in range(3):
+        slope = (x[:, j] * (ps - treated)).sum()
+        assert abs(slope) <= penalty + 0.01 and (j + 1 not in beta or abs(slope + penalty * np.sign(beta[j + 1])) < 0.01)
+
+
+def test_propensity_without_covariates_and_unconverged(frame):
+    _, treated, pop, cov = model_rows(frame, 80)
+    scored, fits, coefficients = PS.propensity_fits(pop, cov.limit(0), variances=(1.0,))
+    assert {round(r.ps, 6) for r in scored.collect()} == {round(float(treated.mean()), 6)}
+    assert [r.covariate_id for r in coefficients.collect()] == [0]
+    _, fits, _ = PS.propensity_fits(pop, cov, variances=(1.0,), max_iter=1, tolerance=1e-12)
+    assert not fits.first().converged
 
 
 def test_correlation_and_guard(frame):
