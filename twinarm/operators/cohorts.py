@@ -189,8 +189,24 @@ JSON_DOMAINS = {
 }
 
 
+# What the readers below understand of a criterion and of a definition.
+CRITERION_KEYS = {
+    "CodesetId", "First", "OccurrenceStartDate", "VisitType", "ConditionType", "CorrelatedCriteria",
+}
+
+
+def _refuse(what: str, spec: dict, known: set[str]) -> None:
+    """A part that is not understood changes who is in the cohort, so it is never passed over."""
+    extra = sorted(k for k, v in spec.items() if k not in known and v not in (None, [], {}, False))
+    if extra:
+        raise ValueError(f"unsupported in {what}: {', '.join(extra)}")
+
+
 def _criterion_from_json(spec: dict) -> Criterion:
     ((name, body),) = spec.items()
+    if name not in JSON_DOMAINS:
+        raise ValueError(f"unsupported criterion: {name}")
+    _refuse(name, body, CRITERION_KEYS)
     span = body.get("OccurrenceStartDate")
     if span is not None and span["Op"] != "bt":
         raise ValueError(f"unsupported date operator {span['Op']}")
@@ -210,6 +226,9 @@ def _criterion_from_json(spec: dict) -> Criterion:
 
 
 def _group_from_json(spec: dict) -> Group:
+    if spec["Type"] not in ("ALL", "ANY"):
+        raise ValueError(f"unsupported group type: {spec['Type']}")
+    _refuse("a group", spec, {"Type", "CriteriaList", "Groups"})
     members: list[Correlated | Group] = []
     for entry in spec["CriteriaList"]:
         window, occurrence = entry["StartWindow"], entry["Occurrence"]
@@ -231,6 +250,9 @@ def _group_from_json(spec: dict) -> Group:
 
 def definition_from_json(cohort_id: int, spec: dict) -> CohortDefinition:
     """A stored cohort definition (already loaded) as a ``CohortDefinition``."""
+    for part in ("InclusionRules", "CensoringCriteria", "EndStrategy"):
+        if spec.get(part):
+            raise ValueError(f"unsupported in a definition: {part}")
     primary = spec["PrimaryCriteria"]
     extra = spec.get("AdditionalCriteria")
     return CohortDefinition(
