@@ -36,14 +36,22 @@ WIDTH = 5
 K = 64
 #: Similarity of linked documents, as a fraction of whole numbers.
 SIMILARITY = (85, 100)
-#: Share of the retained values that a pair must have in common, for sets that are not kept whole.
-SHARE = 0.6
+#: Standard deviations between the share of retained values that a pair at the threshold is expected
+#: to have in common and the share that it needs.
+MARGIN = 5.6
 #: Shingles of one block; a task compares two blocks.
 BLOCK_SHINGLES = 100_000
 #: Bits of the candidate filter, at most 16 MB; more candidates only make it pass more rows.
 FILTER_BITS = (1 << 16, 1 << 27)
 
 
+def needed_share(similarity: tuple[int, int], k: int = K) -> float:
+    """Share of the retained values that a pair must have in common, for sets that are not kept whole.
+    A subset at the threshold shares least: each retained value of the larger set with that chance."""
+    part, whole = similarity
+    return max(0.0, part / whole - MARGIN * np.sqrt(part * (whole - part) / k) / whole)
+
+
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
     for _, _, data, places in words.slices(column):
         found = words.split(data, places, "spaced")
@@ -149,10 +157,11 @@ def union_estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: tuple[int, int],
-                 k: int = K, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
+                 k: int = K, share: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of linked sets (sorted arrays): between ``left`` and ``right``, or among ``left`` if
     that is None. Overlaps of the sketches come first, then the union estimate, then the full sets."""
     part, whole = similarity
+    share = needed_share(similarity, k) if share is None else share
     sets = left if right is None else [*left, *right]
     m, n = len(left), 0 if right is None else len(left)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -223,7 +232,7 @@ def candidate_groups(classes: DataFrame, k: int, similarity: tuple[int, int], sh
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
-                 similarity: tuple[int, int] = SIMILARITY, share: float = SHARE) -> DataFrame:
+                 similarity: tuple[int, int] = SIMILARITY, share: float | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``n`` (size of its shingle set), ``component`` (smallest id
     reachable over links) and ``kept`` (whether that is its own id).
 
@@ -232,6 +241,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component and is kept. Columns other than the two named are not read.
     """
     spark = docs.sparkSession
+    share = needed_share(similarity, k) if share is None else share
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = stage(picked.mapInArrow(_sketcher(k), "id long, n long, set_key long, sketch array<long>"))
     classes = stage(sketches.where("n > 0").groupBy("set_key", "n").agg(
@@ -271,7 +281,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
-                similarity: tuple[int, int] = SIMILARITY, share: float = SHARE) -> DataFrame:
+                similarity: tuple[int, int] = SIMILARITY, share: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each class does, all columns kept.
 
     Rows are named by their ids: an id stays if any of its rows is kept, and rows without an id stay.
