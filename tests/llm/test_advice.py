@@ -1,13 +1,16 @@
 """Cases that a review has found missing: each failed before its change."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import odd
 from tests.llm.test_text_operators import SPACED, components_of, lower
-from twinarm.llm import near_text
+from twinarm.llm import attribution, near_text, packing, tokens
 
 
 def near_copies():
@@ -46,3 +49,24 @@ def test_needed_share_leaves_room_below_a_subset(part):
     k, j = near_text.K, part / 100
     needed = int(k * near_text.needed_share((part, 100)))
     assert (k * j - needed) / (k * j * (1 - j)) ** 0.5 > 5
+
+
+ADDED = ["<|endoftext|>", "a <|endoftext|> b", "é<|endoftext|><|endoftext|>\n\n  it's", " x  <|endoftext|>\n<|endoftext|", "<|ENDOFTEXT|>", "plain text"]
+
+
+def test_added_tokens_get_their_own_id(spark):
+    """Against a tokenizer that nothing has changed."""
+    fresh = Tokenizer.from_file(tokens.default_path())
+    known = tokens.Encoder(tokens.default_path())
+    want = {i: fresh.encode(t, add_special_tokens=False) for i, t in enumerate(ADDED)}
+    assert want[0].ids == [50256]
+    for i, text in enumerate(ADDED):
+        assert known.ids(text) == want[i].ids
+        assert known.byte_lengths[known.ids(text)].sum() == len(text.encode())
+    docs = odd.docs(spark, list(enumerate(ADDED)))
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs).collect()}
+    assert packed == {i: (len(e.ids) + 1, zlib.crc32(np.array([*e.ids, 2], "<u4").tobytes())) for i, e in want.items()}
+    counts = {i: 0 for i in want}
+    for r in attribution.section_tokens(docs, rule="majority").collect():
+        counts[r.id] += r.n_tokens
+    assert counts == {i: len(e.ids) for i, e in want.items()}

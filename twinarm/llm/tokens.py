@@ -5,6 +5,7 @@ from __future__ import annotations
 import array
 import json
 import os
+import re
 import sys
 from functools import cached_property, lru_cache
 
@@ -32,7 +33,8 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
     A byte-level file whose ids follow its merges is read into ``tiktoken``, which gives the same ids
-    three times as fast; any other file goes through ``tokenizers`` itself.
+    three times as fast; any other file, and a text with the string of an added token in it, goes
+    through ``tokenizers`` itself, by the file's own defaults.
     """
 
     def __init__(self, path: str):
@@ -40,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = self._ranked(path)
 
     def _ranked(self, path: str):
@@ -63,7 +66,7 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None:
+        if self.fast is not None and not (self.added and self.added.search(text)):
             return self.fast.encode_ordinary(text)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -75,10 +78,13 @@ class Encoder:
 
     @cached_property
     def byte_lengths(self) -> np.ndarray:
-        """Bytes of each id; a byte-level vocabulary spells every byte as one character."""
+        """Bytes of each id; a byte-level vocabulary spells every byte as one character, but added tokens
+        stand as they are."""
         out = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             out[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            out[i] = len(token.content.encode())
         return out
 
 
