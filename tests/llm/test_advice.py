@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm import odd
 from tests.llm.test_text_operators import SPACED, components_of, lower
-from twinarm.llm import attribution, near_text, packing, tokens
+from twinarm.llm import attribution, html_text, near_text, packing, tokens
 
 
 def near_copies():
@@ -70,3 +70,28 @@ def test_added_tokens_get_their_own_id(spark):
     for r in attribution.section_tokens(docs, rule="majority").collect():
         counts[r.id] += r.n_tokens
     assert counts == {i: len(e.ids) for i, e in want.items()}
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<p>one<svg class="i"/> two</p><p>three</p>', ["one two", "three"]),
+    ("<p>one <math/>two</p><p>three</p>", ["one two", "three"]),
+    ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>", ["let x=1 be"]),
+    ("<div><button>Menu</div><p>one</p><p>two</p>", ["Menu", "one", "two"]),
+    ("<button>Menu<article><p>one</p></article>", ["Menu", "one"]),
+    ("<p>text <button>Share</p><p>two</p>", ["text", "Share", "two"]),
+    ("<p>text <button>Share</button> goes on</p>", ["text goes on", "Share"]),
+    ("<form><select><option>A<option>B</form><p>one</p>", ["A", "B", "one"]),
+    ("<object><object>in</object>out</object><p>one</p>", ["in", "out", "one"]),
+    ("<object data=x><p>one</p><p>two</p>", ["one", "two"]),
+    ("<noscript>Turn it on<p>one</p>", ["Turn it on", "one"]),
+    ("<template><p>t</p></template><p>one</p>", ["t", "one"]),
+    ("<svg><svg><path d='m'/></svg><text>label</text></svg><p>one</p>", ["label", "one"]),
+    ("<svg><title>icon</svg><p>one</p>", ["one"]),
+    ("<p>a<svg><title/><style/><path/></svg>b</p><p>one</p>", ["ab", "one"]),
+    ("<p>a <svg><path d='m'><p>one</p>", ["a", "one"]),
+    ("<svg-icon>x</svg-icon><p>one</p>", ["x", "one"]),
+    ("<script>a</b></script ><p>one</p><iframe><p>in", ["one"]),
+    ("<style/>p{}</style>one", ["one"]),
+])
+def test_unclosed_and_self_closed_elements_swallow_nothing(page, want):
+    assert [b.text for b in html_text.blocks(page)] == want

@@ -26,20 +26,29 @@ PATH_DIMS, WORD_DIMS, HIDDEN = 96, 32, 16
 SAMPLE, SAMPLE_BYTES = 250, 500_000
 EPOCHS, RATE, BATCH, SPAN = 14, 0.02, 24, 120
 
-_RAW = "script|style|template|noscript|title|textarea|iframe|object|svg|math|select|button"
+#: Elements whose content is no markup: they end at their own end tag alone, or with the page.
+_RAW = frozenset("script style title textarea iframe".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
     r"|<[!?/][^>]*>",
-    re.S | re.I,
+    re.S,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in _RAW}
+#: In SVG and MathML these elements are like others; their text is left out up to the end of the picture at most.
+_INNER_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|(?=</(?:svg|math)[\s/>])", re.I) for tag in _RAW}
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
-    "h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+    "h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SAME = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option"}
+_SAME = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option", "button": "button"}
+#: Elements whose text makes blocks of its own and leaves the text around them in one piece.
+_APART = frozenset("template noscript object svg select button".split())
+#: Whether the content of an element is SVG or MathML, where "/>" ends an element; others are as what they stand in.
+_FOREIGN = {"svg": True, "math": True, "foreignobject": False, "desc": False, "annotation-xml": False}
+#: Elements that, besides _BLOCKS, end an SVG or MathML element left open.
+_BREAK_OUT = frozenset("b big br code em embed i img meta nobr ruby s small span strike strong sub sup tt u var".split())
 
 
 class Block(NamedTuple):
@@ -51,10 +60,13 @@ class Block(NamedTuple):
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, with decoded text, white space turned into one space."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], bool]] = []
     parts: list[str] = []
+    after: list[Block] = []  # blocks from inside the one being read
     linked = links = 0
     path: tuple[str, ...] = ()
+    held: list[tuple] = []  # what was being read where an element of _APART began
+    unclosed: set[str] = set()  # raw elements in a picture without an end in the rest of the page
 
     def end() -> None:
         nonlocal linked, path
@@ -63,6 +75,8 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 out.append(Block(path, text, min(linked, len(text))))
             parts.clear()
+        out.extend(after)
+        after.clear()
         linked = 0
 
     def add(text: str) -> None:
@@ -71,24 +85,36 @@ def blocks(page: str | None) -> list[Block]:
             if not parts:
                 if text.isspace():
                     return
-                path = tuple(t for _, names in stack for t in names)
+                path = tuple(t for _, names, _ in stack for t in names)
             parts.append(text)
             if links:
                 linked += len(text)
 
     def pop(to: int) -> None:
-        nonlocal links
-        links -= sum(tag == "a" for tag, _ in stack[to:])
+        nonlocal out, parts, after, linked, links, path
+        while held and held[-1][0] >= to:
+            end()
+            inner = out
+            _, out, parts, after, linked, path = held.pop()
+            (after if parts else out).extend(inner)
+        links -= sum(tag == "a" for tag, _, _ in stack[to:])
         del stack[to:]
 
     page, at = page or "", 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
+        foreign = bool(stack) and stack[-1][2]
+        if foreign and not m["close"] and (tag in _BLOCKS or tag in _BREAK_OUT):
+            to = len(stack) - 1
+            while to and stack[to - 1][2]:
+                to -= 1
+            pop(to)
+            foreign = False
         if tag == "br":
             if parts:
                 parts.append(" ")
@@ -99,23 +125,37 @@ def blocks(page: str | None) -> list[Block]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     pop(i)
+                    if tag in _BLOCKS:
+                        end()
                     break
+        elif (foreign or tag in ("svg", "math")) and m["attrs"].endswith("/"):
+            continue
+        elif tag in _RAW:
+            closing = None if tag in unclosed else (_INNER_END if foreign else _RAW_END)[tag].search(page, at)
+            if closing or not foreign:
+                at = closing.end() if closing else len(page)
+            else:
+                unclosed.add(tag)
         elif tag not in _VOID:
             for i in range(len(stack) - 1, -1, -1):
                 open_tag = stack[i][0]
                 if tag in _BLOCKS and open_tag == "p" or open_tag in (tag, _SAME.get(tag)) and tag in _SAME:
                     pop(i)
                     break
-                if open_tag in _BLOCKS and open_tag != "p":
+                if open_tag in _APART or open_tag in _BLOCKS and open_tag != "p":
                     break
             names = [tag]
             if m["attrs"]:
                 for value in _NAMED.findall(m["attrs"]):
                     names += ["." + w for w in re.findall(r"[a-z]+", value.lower())]
+            if tag in _APART:
+                held.append((len(stack), out, parts, after, linked, path))
+                out, parts, after, linked = [], [], [], 0
             links += tag == "a"
-            stack.append((tag, tuple(names)))
+            stack.append((tag, tuple(names), _FOREIGN.get(tag, foreign)))
     # A "<" that begins nothing is text.
     add(page[at:])
+    pop(0)
     end()
     return out
 
