@@ -95,3 +95,15 @@ def test_added_tokens_get_their_own_id(spark):
 ])
 def test_unclosed_and_self_closed_elements_swallow_nothing(page, want):
     assert [b.text for b in html_text.blocks(page)] == want
+
+
+def test_training_pages_do_not_depend_on_copies(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(html_text, "fit", lambda pages: taken.append(pages))
+    pages = [f"<article><p>page {i}</p></article>" for i in range(200)]
+    once = spark.createDataFrame([(p,) for p in pages], "html string")
+    html_text.train(once, sample=10)
+    assert 0 < len(taken[0]) <= 40 and len(set(taken[0])) == len(taken[0])
+    for hot in (taken[0][0], next(p for p in pages if p not in taken[0])):
+        html_text.train(once.unionByName(spark.createDataFrame([(hot,)] * 100, "html string")).repartition(7), sample=10)
+    assert taken[1] == taken[2] == taken[0]

@@ -444,11 +444,15 @@ def extract(net: Net | None, pages: list[str | None]) -> list[str]:
 
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Net | None:
-    """Fit on about ``sample`` pages; null and longer than SAMPLE_BYTES ones teach nothing."""
+    """Fit on about ``sample`` different pages; null and longer than SAMPLE_BYTES ones teach nothing.
+    Copies of a page count once, so the pages do not depend on how often each occurs."""
     rows = pages.select(F.col(html_col).cast("string").alias("html")).where(f"html is not null and octet_length(html) <= {SAMPLE_BYTES}")
-    n = rows.count()
+    rows = rows.withColumn("hash", F.xxhash64("html"))
+    n = rows.select("hash").distinct().count()
     share = int(min(1.0, sample / max(1, n)) * (1 << 30))
-    return fit(sorted(r["html"] for r in rows.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < share).limit(4 * sample).collect()))
+    place = F.pmod("hash", F.lit(1 << 30))
+    picked = rows.where(place < share).dropDuplicates(["hash", "html"]).orderBy(place, "hash", "html").limit(4 * sample)
+    return fit(sorted(r["html"] for r in picked.select("html").collect()))
 
 
 def main_text(pages: DataFrame, net: Net | None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
