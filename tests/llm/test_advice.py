@@ -4,13 +4,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import odd
-from tests.llm.test_text_operators import SPACED, components_of, lower
-from twinarm.llm import attribution, html_text, near_text, packing, tokens
+from tests.llm.test_text_operators import ALNUM, SPACED, components_of, lower
+from twinarm.llm import attribution, decontaminate, html_text, near_text, packing, tokens
 
 
 def near_copies():
@@ -72,6 +73,28 @@ def test_added_tokens_get_their_own_id(spark):
     assert counts == {i: len(e.ids) for i, e in want.items()}
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000 + "x", "a" + "\n" * 5_000_000, "b" * 5_000_000, "$" * 5_000_000,
+                                  "x" + " \n" * 60_000 + "\t y " + " " * 200_000])
+def test_long_runs_of_one_character_are_encoded(text):
+    known = tokens.Encoder(tokens.default_path())
+    found = known.ids(text)
+    assert known.tokenizer.decode(found) == text
+    if len(text) < 1_000_000:
+        assert found == known.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_white_space_passes_through_jobs(spark):
+    docs = odd.docs(spark, [(1, "one" + " " * 1_200_000 + "two"), (2, "\n" * 1_200_000)])
+    lengths = {}
+    for r in packing.pack(docs).collect():
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    counts = {i: 0 for i in lengths}
+    for r in attribution.section_tokens(docs, separator="\x00", rule="majority").collect():
+        counts[r.id] += r.n_tokens
+    assert {i: n - 1 for i, n in lengths.items()} == counts
+    assert min(counts.values()) >= 600_000
+
+
 @pytest.mark.parametrize("page,want", [
     ('<p>one<svg class="i"/> two</p><p>three</p>', ["one two", "three"]),
     ("<p>one <math/>two</p><p>three</p>", ["one two", "three"]),
@@ -107,3 +130,31 @@ def test_training_pages_do_not_depend_on_copies(spark, monkeypatch):
     for hot in (taken[0][0], next(p for p in pages if p not in taken[0])):
         html_text.train(once.unionByName(spark.createDataFrame([(hot,)] * 100, "html string")).repartition(7), sample=10)
     assert taken[1] == taken[2] == taken[0]
+
+
+@pytest.mark.parametrize("limit", [40, 150, 1000])
+def test_stretches_of_long_texts_find_what_whole_texts_do(limit):
+    rng = random.Random(limit)
+    words = [rng.choice(["a", "bb", "é", "naïve", "x" * 90, "Word9"]) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ",", " …", "\n"]) for _ in range(n)) for n in (0, 1, 7, 30, 400)]
+    texts += [None, "x" * 3000, " " * 3000, texts[-1]]
+    items = [(str(i), " ".join(texts[4].split()[i * 9 : i * 9 + 20])) for i in range(20)] + [("short", "bb é")]
+    phrases = decontaminate.Phrases(items, 4)
+    whole, stretched = (decontaminate.find(pa.array(texts, pa.string()), phrases, n) for n in (10**6, limit))
+    assert whole[0].tolist() == stretched[0].tolist()
+    assert whole[1] == stretched[1] and len(whole[1]) > 2
+    for row, (spans, _) in whole[1].items():
+        for a, b, c, d in spans:
+            assert len(ALNUM.findall(lower(texts[row])[c:d])) == b - a
+            assert len(ALNUM.findall(lower(texts[row])[:c])) == a
+
+
+def test_repeated_items_are_spread_over_parts(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(i % 300, text) for i in range(900)] + [(None, text)], "item_id long, text string")
+    parts, part = decontaminate.phrase_parts(bench, part_bytes=2000)
+    names = [{x for found in part(k).items for x in found} for k in range(parts)]
+    assert parts > 5 and max(map(len, names)) < 150 and set().union(*names) == {str(i) for i in range(300)}
+    found = decontaminate.contamination(odd.docs(spark, [(1, "a " + text), (2, None), (None, text), (None, text)]), bench, part_bytes=2000)
+    assert sorted((str(r.id), r.n_words, r.n_hit, len(r["items"])) for r in found.collect()) == [
+        ("1", 21, 20, 300), ("2", 0, 0, 0), ("None", 20, 20, 300), ("None", 20, 20, 300)]

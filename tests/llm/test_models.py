@@ -272,7 +272,7 @@ def test_pipeline_stages_follow_one_another(spark):
     assert sum(truth[d] == 1 for d in truth) * 0.98 <= sum(truth[d] == 1 and d in kept for d in truth)
     assert sum(truth[d] == 0 and d in kept for d in truth) <= 0.1 * sum(truth[d] == 0 for d in truth)
     third = once(spark, second, SF_MORE).cache()
-    want = {r.id for r in near_text.near_classes(second).where("kept").collect()}
+    want = {r.id for r in near_text.near_classes(second, similarity=corpus_pipeline.NEAR).where("kept").collect()}
     assert {r.doc_id for r in third.collect()} == want
     fourth = clean(spark, third, SF_MORE).cache()
     marks = decontaminate.contamination(third, read_table(spark, SF_MORE, "benchmark")).collect()

@@ -14,6 +14,15 @@ import numpy as np
 #: Fixed value: the public splitting pattern of the byte-level vocabulary.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Longest run of white space that the pattern may meet in ``tiktoken``, whose matcher keeps one place to
+#: go back to for each of its characters and gives up at a million.
+SPACES = 100_000
+_SPACES = re.compile(r"\s+")
+
+
+def long_spaces(text: str) -> bool:
+    return len(text) > SPACES and any(m.end() - m.start() > SPACES for m in _SPACES.finditer(text))
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -33,8 +42,8 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
     A byte-level file whose ids follow its merges is read into ``tiktoken``, which gives the same ids
-    three times as fast; any other file, and a text with the string of an added token in it, goes
-    through ``tokenizers`` itself, by the file's own defaults.
+    three times as fast; any other file, and a text with the string of an added token or a very long run
+    of white space in it, goes through ``tokenizers`` itself, by the file's own defaults.
     """
 
     def __init__(self, path: str):
@@ -66,7 +75,7 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None and not (self.added and self.added.search(text)):
+        if self.fast is not None and not (self.added and self.added.search(text)) and not long_spaces(text):
             return self.fast.encode_ordinary(text)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 

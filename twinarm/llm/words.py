@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; temporary arrays take about 60 times as much.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -41,6 +41,11 @@ def _byte_class(kind: str) -> np.ndarray:
 CLASSES = {kind: _byte_class(kind) for kind in ("alnum", "spaced")}
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
 class Words(NamedTuple):
     """Words of consecutive texts. ``first[d]:first[d + 1]`` are those of text ``d``."""
 
@@ -76,7 +81,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 def split(data: np.ndarray, text_start: np.ndarray, kind: str) -> Words:
     """Lower-case A-Z and find the words of each text."""
-    data = _LOWER[data]
+    data = lower(data)
     inside = CLASSES[kind][data]
     begins, ends = inside.copy(), inside.copy()
     if len(data):
