@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinarm.llm import words
+from twinarm.llm.storage import bound_batches
 
 ORDER = 3
 #: Training documents for each language; a hash of id and text picks them where there are more.
@@ -115,7 +116,7 @@ def score(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     """Bits of each text in each language, its bytes, and whether it has letters."""
     n = len(column)
     bits, size, letters = np.zeros((n, len(model.languages))), np.zeros(n, np.int64), np.zeros(n, bool)
-    for row, stop, data, text_start in words.slices(column, 1_000_000):
+    for row, stop, data, text_start in words.slices(column):
         size[row:stop] = np.diff(text_start)
         sums = np.concatenate([[0], np.cumsum(_LETTER[data])])
         letters[row:stop] = sums[text_start[1:]] > sums[text_start[:-1]]
@@ -189,7 +190,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def known_rows(docs: DataFrame, model: Model, text_col: str = "text", most_bits: float = MOST_BITS) -> DataFrame:
     """Rows whose text is in one of the learned languages, all columns kept."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared, at = bound_batches(docs.sparkSession).sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -211,3 +211,140 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = read_table(spark, sf_dir, "pages")
     return main_text(pages, train(pages)).withColumnRenamed("id", "page_id")
+
+
+#: A value as its UTF-8 byte count, a colon and itself.
+FIELD_SQL = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+#: crc32 of a string of decimal digits or a sign, bit by bit.
+CRC_SQL = """xor(list_reduce(
+    flatten(list_transform(range(1, len(s) + 1), lambda i: [ascii(s[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, d: xor(xor(a, d) >> 1, 3988292384 * (xor(a, d) & 1)), 4294967295::BIGINT), 4294967295)"""
+#: A level of a tree from the one below: every two nodes become their hash, a last one alone does so too.
+PAIR_SQL = "list_transform(range(0, (len(hs) + 1) // 2), lambda i: sha256(hs[2 * i + 1] || coalesce(hs[2 * i + 2], '')))"
+OP11_SQL = f"""
+WITH RECURSIVE x AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, n_chars, doc_id::VARCHAR AS s,
+    {FIELD_SQL.format("doc_id")} || {FIELD_SQL.format("source")} || {FIELD_SQL.format("lang")} AS a, {FIELD_SQL.format("text")} AS b
+  FROM documents),
+y AS (
+  SELECT r, doc_id, lang, sha256(a || {FIELD_SQL.format("n_chars")} || b) AS leaf,
+    CASE WHEN n_chars IS NOT NULL AND {CRC_SQL} % 7 = 0 THEN sha256(a || {FIELD_SQL.format("(n_chars + 1)")} || b) END AS changed FROM x),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM y),
+t AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS hs FROM l GROUP BY lang
+  UNION ALL SELECT lang, level + 1, {PAIR_SQL} FROM t WHERE len(hs) > 1),
+u AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE len(hs) = 1),
+v AS (
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS hs FROM u
+  UNION ALL SELECT level + 1, {PAIR_SQL} FROM v WHERE len(hs) > 1),
+steps AS (
+  SELECT r, 0 AS part, level, hs[xor(pos >> level, 1) + 1] AS sib, (pos >> level) & 1 AS bit
+  FROM l JOIN t ON t.lang IS NOT DISTINCT FROM l.lang AND len(hs) > 1
+  UNION ALL SELECT r, 1, level, hs[xor(u.pos >> level, 1) + 1], (u.pos >> level) & 1
+  FROM l JOIN u ON u.lang IS NOT DISTINCT FROM l.lang JOIN v ON len(hs) > 1),
+path AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY part, level) - 1 AS k FROM steps),
+fold AS (
+  SELECT r, 0::BIGINT AS k, coalesce(changed, leaf) AS h FROM l
+  UNION ALL SELECT fold.r, fold.k + 1, CASE WHEN sib IS NULL THEN sha256(h) WHEN bit = 1 THEN sha256(sib || h) ELSE sha256(h || sib) END
+  FROM fold JOIN path ON path.r = fold.r AND path.k = fold.k),
+ends AS (SELECT r, arg_max(h, k) AS h FROM fold GROUP BY r),
+proofs AS (SELECT r, string_agg(sib, '' ORDER BY k) AS p FROM path GROUP BY r)
+SELECT doc_id, leaf, subroot, (SELECT hs[1] FROM v WHERE len(hs) = 1) AS root, sha256(coalesce(p, '')) AS proof_sha256,
+  h AS folded_root, h = (SELECT hs[1] FROM v WHERE len(hs) = 1) AS verified
+FROM l JOIN u ON u.lang IS NOT DISTINCT FROM l.lang JOIN ends USING (r) LEFT JOIN proofs USING (r)
+"""
+
+
+@query(OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinarm.llm.manifest import document_manifest
+
+    return document_manifest(read_table(spark, sf_dir, "documents"))
+
+
+#: Rules that come before the reputation of a host.
+URL_RULES = (("block", "net"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def _op12_sql() -> str:
+    from twinarm.llm.url_filter import LIMIT, SPREAD, SUFFIXES, SURE, Rule
+
+    rules = sorted((Rule(*r) for r in URL_RULES), key=lambda r: -len(r.text))
+    fits = " ".join(f"WHEN ('.' || host) LIKE '%.{r.host}' AND starts_with(path, '{r.path}') THEN '{{0}}'".replace("{0}", r.text) for r in rules)
+    acts = " ".join(f"WHEN '{r.text}' THEN '{r.action}'" for r in rules)
+    long = ", ".join(f"'{s}'" for s in SUFFIXES)
+
+    def level(name: str, source: str) -> str:
+        return f"""
+{name}_m AS (SELECT *, (pa - bad) / (pa + pb - n) AS m, pa + pb - n AS rest FROM {source}),
+{name}_w AS (
+  SELECT 1 / greatest({SPREAD[0]}, least({SPREAD[1]}, coalesce(
+    sum(power(bad - n * m, 2) - n * m * (1 - m)) / nullif(greatest(sum(n * (n - 1) * m * (1 - m)), 0), 0), {SPREAD[0]}))) - 1 AS w FROM {name}_m),
+{name} AS (
+  SELECT * EXCLUDE (pa, pb, m, rest), least(w, rest) * m + bad AS a, least(w, rest) * (1 - m) + n - bad AS b FROM {name}_m, {name}_w)"""
+
+    return f"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (
+  SELECT page_id, {LOWER_SQL.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+o AS (
+  SELECT doc_id, min(bad) AS bad FROM (
+    SELECT doc_id, CASE WHEN toxic = 1 THEN 1 WHEN quality IN (0, 1) THEN 1 - quality END AS bad FROM labels)
+  WHERE doc_id IS NOT NULL AND bad IS NOT NULL GROUP BY doc_id HAVING min(bad) = max(bad)),
+h0 AS (
+  SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad,
+    regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') AS name
+  FROM q LEFT JOIN o ON doc_id = page_id GROUP BY host),
+h1 AS (
+  SELECT *, regexp_matches(name, '^[0-9.]+$|^[[]') AS address, string_split(name, '.') AS s,
+    array_to_string(string_split(name, '.')[-2:], '.') IN ({long}) AS long FROM h0),
+h AS (
+  SELECT host, n, bad, CASE WHEN address THEN name WHEN long THEN array_to_string(s[-3:], '.') ELSE array_to_string(s[-2:], '.') END AS domain,
+    CASE WHEN address THEN '' WHEN long THEN array_to_string(s[-2:], '.') ELSE s[-1] END AS suffix FROM h1),
+s0 AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT sum(bad) + 1 FROM h) AS pa, (SELECT sum(n) - sum(bad) + 1 FROM h) AS pb FROM h GROUP BY suffix),
+{level("s1", "s0")},
+d0 AS (
+  SELECT suffix, domain, sum(h.n) AS n, sum(h.bad) AS bad, any_value(a) AS pa, any_value(b) AS pb FROM h JOIN s1 USING (suffix) GROUP BY ALL),
+{level("d1", "d0")},
+t0 AS (SELECT host, h.n, h.bad, a AS pa, b AS pb FROM h JOIN d1 USING (suffix, domain)),
+{level("t1", "t0")},
+r AS (SELECT host, a / (a + b) - {SURE} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM t1),
+z AS (SELECT page_id, host, path, low, CASE {fits} END AS rule FROM q JOIN r USING (host))
+SELECT page_id, host, path, rule, CASE rule {acts} ELSE CASE WHEN low > {LIMIT} THEN 'block' ELSE 'allow' END END AS verdict FROM z
+"""
+
+
+@query(_op12_sql())
+def op12_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinarm.llm.url_filter import Rule, outcomes, verdicts
+
+    found = verdicts(read_table(spark, sf_dir, "pages"), outcomes(read_table(spark, sf_dir, "labels")), [Rule(*r) for r in URL_RULES])
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query(OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinarm.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"))
