@@ -1,8 +1,11 @@
 """Queries on outcome models, summaries and calibration."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from checks import design
+from checks.feature_queries import covariates
 from checks.registry import VIEWS, query
 from checks.study_queries import (
     MATCH_SQL,
@@ -20,7 +23,10 @@ from twinarm.functions.names import display_name, underscored_name
 from twinarm.operators import calibration as K
 from twinarm.operators import matching as M
 from twinarm.operators import summary as S
-from twinarm.operators.cox import cox_grid, cox_pairs, pair_counts
+from twinarm.operators import families as X
+from twinarm.operators.cox import TREATMENT, cox_fits, cox_grid, cox_pairs, pair_counts
+from twinarm.operators.families import ENTRY
+from twinarm.operators.propensity import entry_of
 
 NAMES = (
     (1, "[Tag-1] Procedure arm A"),
@@ -123,14 +129,99 @@ def pairs_query(study):
 
 @query(
     "m2_cox_iterative",
-    f"SELECT {MODEL_SQL}, round(log_rr, 3) AS log_rr, round(se_log_rr, 3) AS se_log_rr FROM fits",
+    f"SELECT {MODEL_SQL}, {six_sql(ESTIMATE)} FROM fits",
 )
 def iterative(study):
     """The iterative Cox fit without covariates must agree with the closed form."""
-    fitted = cox_grid(exact_matched(study), tolerance=1e-9).drop("converged", "iterations")
-    return fitted.withColumn("log_rr", F.round("log_rr", 3)).withColumn(
-        "se_log_rr", F.round("se_log_rr", 3)
-    )
+    fitted = cox_grid(exact_matched(study), tolerance=1e-10).drop("converged", "iterations")
+    return six(fitted, ESTIMATE)
+
+
+SCORE_COVARIATE = X.ANALYSIS["chads2vasc"]
+L1 = math.sqrt(2.0)
+VIEWS["score_rows"] = f"""
+    SELECT m.*, coalesce(x.covariate_value, 0) AS x
+    FROM (SELECT *, CASE WHEN treatment = 1 THEN target_id ELSE comparator_id END AS cohort_definition_id FROM matched) m
+    LEFT JOIN (SELECT * FROM x_scores WHERE covariate_id = {SCORE_COVARIATE}) x
+      USING (cohort_definition_id, subject_id, cohort_start_date)"""
+# An event while the partner is at risk: who had it, less the partner.
+VIEWS["pair_events"] = f"""
+    SELECT {MODEL_SQL}, d0, d1 / nullif(largest, 0) AS d1, largest
+    FROM (SELECT a.target_id, a.comparator_id, a.outcome_id, a.treatment - b.treatment AS d0, a.x - b.x AS d1,
+                 max(greatest(a.x, b.x)) OVER (PARTITION BY a.target_id, a.comparator_id, a.outcome_id) AS largest
+          FROM score_rows a JOIN score_rows b USING ({MODEL_SQL}, stratum_id)
+          WHERE a.treatment <> b.treatment AND a.outcome_count > 0 AND b.survival_time >= a.survival_time)"""
+# Damped Newton steps for treatment, damped soft-thresholded ones for the score, side by side.
+VIEWS["score_fits"] = f"""
+    WITH RECURSIVE told AS (
+      SELECT {MODEL_SQL}, d0, coalesce(d1, 0) AS d1, largest FROM pair_events
+      QUALIFY min(d0) OVER (PARTITION BY {MODEL_SQL}) < 0 AND max(d0) OVER (PARTITION BY {MODEL_SQL}) > 0),
+    steps AS (
+      SELECT DISTINCT {MODEL_SQL}, 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM told
+      UNION ALL
+      SELECT {MODEL_SQL}, k + 1, b0 + 0.7 * g0 / h00,
+             CASE WHEN h11 > 0 THEN 0.3 * b1 + 0.7 * sign(b1 + g1 / h11) * greatest(abs(b1 + g1 / h11) - {L1} / h11, 0) ELSE 0 END
+      FROM (SELECT {MODEL_SQL}, any_value(k) AS k, any_value(b0) AS b0, any_value(b1) AS b1, sum(d0 * q) AS g0, sum(d1 * q) AS g1,
+                   sum(d0 * d0 * q * (1 - q)) AS h00, sum(d1 * d1 * q * (1 - q)) AS h11
+            FROM (SELECT s.*, d0, d1, 1 / (1 + exp(d0 * b0 + d1 * b1)) AS q FROM steps s JOIN told USING ({MODEL_SQL}) WHERE k < 300)
+            GROUP BY {MODEL_SQL}))
+    SELECT {MODEL_SQL}, b0 AS log_rr, CASE WHEN abs(b1) < 1e-9 THEN 0 ELSE b1 / largest END AS coefficient,
+           1 / sqrt(CASE WHEN abs(b1) < 1e-9 THEN h00 ELSE h00 - h01 * h01 / h11 END) AS se_log_rr
+    FROM (SELECT {MODEL_SQL}, any_value(b0) AS b0, any_value(b1) AS b1, any_value(largest) AS largest, sum(d0 * d0 * q * (1 - q)) AS h00,
+                 sum(d0 * d1 * q * (1 - q)) AS h01, sum(d1 * d1 * q * (1 - q)) AS h11
+          FROM (SELECT s.*, d0, d1, largest, 1 / (1 + exp(d0 * b0 + d1 * b1)) AS q FROM steps s JOIN told USING ({MODEL_SQL}) WHERE k = 300)
+          GROUP BY {MODEL_SQL})"""
+
+
+@query(
+    "m2_cox_covariate",
+    f"""SELECT {MODEL_SQL}, round(f.log_rr, 5) AS log_rr, round(f.se_log_rr, 5) AS se_log_rr, round(coalesce(coefficient, 0), 5) AS coefficient
+        FROM pair_counts LEFT JOIN score_fits f USING ({MODEL_SQL})""",
+)
+def one_covariate(study):
+    """Treatment adjusted for one risk score under the study's prior, with the error that follows from both."""
+    score = covariates(study).filter(F.col("covariate_id") == SCORE_COVARIATE)
+    fits, inside = cox_fits(exact_matched(study), score, l1=L1, tolerance=1e-10)
+    own = inside.filter(F.col("covariate_id") == SCORE_COVARIATE).select(*MODEL, "coefficient")
+    out = fits.join(own, MODEL, "left").withColumn("coefficient", F.coalesce("coefficient", F.lit(0.0)))
+    return out.select(*MODEL, *[F.round(c, 5).alias(c) for c in (*ESTIMATE, "coefficient")])
+
+
+@query(
+    "m2_cox_study",
+    f"""SELECT {MODEL_SQL}, n10 + n01 AS events, n10 > 0 AND n01 > 0 AS converged, 0 AS broken_conditions FROM pair_counts""",
+)
+def all_covariates(study):
+    """Every outcome model on all covariate families, as the study has it. The optimality conditions are
+    restated from the coefficients alone, without the code that fitted them: the slope of each covariate
+    over the pairs, against the penalty."""
+    matched, cov = exact_matched(study), covariates(study)
+    fits, inside = cox_fits(matched, cov, l1=L1)
+    entry = [*MODEL, "stratum_id", "treatment"]
+    rows = entry_of(matched).select(*entry, *ENTRY, "survival_time", (F.col("outcome_count") > 0).alias("event"))
+    values = rows.join(cov, ENTRY).groupBy(*entry, "covariate_id").agg(F.sum("covariate_value").alias("x"))
+    effects = values.join(F.broadcast(inside), [*MODEL, "covariate_id"]).groupBy(*entry).agg(F.sum(F.col("x") * F.col("coefficient")).alias("eta"))
+    own = F.broadcast(inside.filter(F.col("covariate_id") == TREATMENT).select(*MODEL, F.col("coefficient").alias("effect")))
+    known = rows.join(effects, entry, "left").join(own, MODEL).withColumn(
+        "eta", F.coalesce("eta", F.lit(0.0)) + F.col("effect") * F.col("treatment"))
+    other = known.select(*MODEL, "stratum_id", (1 - F.col("treatment")).alias("treatment"), F.col("eta").alias("other_eta"),
+                         F.col("survival_time").alias("other_time"), F.col("event").alias("other_event"))
+    both = known.join(other, entry)
+    q = 1.0 / (1.0 + F.exp(F.col("eta") - F.col("other_eta")))
+    mine, theirs = F.col("event") & (F.col("other_time") >= F.col("survival_time")), F.col("other_event") & (F.col("survival_time") >= F.col("other_time"))
+    residual = both.select(*entry, (F.when(theirs, 1 - q).otherwise(0.0) - F.when(mine, q).otherwise(0.0)).alias("residual"), (mine | theirs).alias("told"))
+    slopes = values.join(residual.filter("told"), entry).groupBy(*MODEL, "covariate_id").agg(
+        F.sum(F.col("x") * F.col("residual")).alias("slope"), F.max(F.abs("x")).alias("largest"))
+    treated = residual.groupBy(*MODEL).agg(F.sum(F.col("residual") * F.col("treatment")).alias("slope")).select(
+        *MODEL, F.lit(TREATMENT).cast("long").alias("covariate_id"), "slope", F.lit(1.0).alias("largest"))
+    sizes = pair_counts(matched).select(*MODEL, (F.col("n10") + F.col("n01")).alias("events"))
+    told = slopes.filter("largest > 0").unionByName(treated).join(F.broadcast(sizes), MODEL).join(inside, [*MODEL, "covariate_id"], "left")
+    penalty, slope = F.when(F.col("covariate_id") == TREATMENT, 0.0).otherwise(L1), F.col("slope") / F.col("largest")
+    beta = F.coalesce("coefficient", F.lit(0.0))
+    away = F.when(beta == 0, F.greatest(F.abs(slope) - penalty, F.lit(0.0))).otherwise(F.abs(slope + penalty * F.signum(beta)))
+    broken = told.groupBy(*MODEL).agg(F.sum(F.when(away > 1e-5 * F.col("events"), 1).otherwise(0)).alias("broken_conditions"))
+    return (sizes.join(fits.select(*MODEL, "converged"), MODEL).join(broken, MODEL, "left")
+            .withColumn("broken_conditions", F.coalesce("broken_conditions", F.lit(0))))
 
 
 @query("m3_m5_model_summary", f"SELECT {SUMMARY_SQL} FROM outcome_summary")

@@ -4,20 +4,29 @@ from __future__ import annotations
 
 import logging
 import math
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinarm.functions.mathx import ratio
-from twinarm.operators.families import ENTRY
+from twinarm.operators import logistic as L
 from twinarm.operators.population import MODEL, ROW
-from twinarm.operators.propensity import entry_of
-from twinarm.session import cut, small_side
+from twinarm.operators.propensity import numbered_models, packed_entries, scaled_squares
+from twinarm.session import cut
 
 TREATMENT = 0  # covariate id of the treatment itself
-LOSS_SLACK = 1e-9
+#: Cells of padded strata that are worked on at once, covariates of an information matrix counted in.
+CELLS = 500_000
+#: Covariates of one information matrix, and cells of the matrices of models that are taken together.
+ACTIVE, MATRICES = 1_500, 4_000_000
+#: A descent goes on by Newton steps once no optimality condition is broken by more than this an event.
+NEAR = 2e-3
+#: Rows of information matrices follow the gradient's blocks.
+MATRIX_ROWS = 1 << 20
 
 log = logging.getLogger(__name__)
 
@@ -56,243 +65,356 @@ def cox_pairs(matched: DataFrame, keys: list[str] = MODEL) -> DataFrame:
     )
 
 
-@dataclass
-class _Fit:
-    """Driver-side state of one model: its coefficients and where the descent stands."""
-
-    beta: dict[int, float] = field(default_factory=dict)
-    trial: dict[int, float] = field(default_factory=dict)
-    gradient: dict[int, float] = field(default_factory=dict)
-    loss: float = 0.0
-    information: float = 0.0
-    step: float = 1.0
-    iterations: int = 0
-    done: bool = False
-    known: bool = False  # both arms have an event while the other is at risk
-
-    def propose(self, l1: float) -> None:
-        self.trial = {}
-        for k, g in self.gradient.items():
-            moved = self.beta.get(k, 0.0) - self.step * g
-            if k != TREATMENT:
-                moved = math.copysign(max(abs(moved) - self.step * l1, 0.0), moved)
-            self.trial[k] = moved
-
-    def settle(
-        self, loss: float, gradient: dict[int, float], information: float, l1: float, tolerance: float
-    ) -> None:
-        """Accept the trial if it descends enough, else halve the step."""
-        self.iterations += 1
-        shift = {k: v - self.beta.get(k, 0.0) for k, v in self.trial.items()}
-        length = sum(d * d for d in shift.values())
-        bound = (
-            self.loss
-            + sum(self.gradient[k] * d for k, d in shift.items())
-            + length / (2.0 * self.step)
-        )
-        if loss > bound + LOSS_SLACK and self.step > 1e-12:
-            self.step /= 2.0
-            return
-        change = (self.loss + _penalty(self.beta, l1)) - (loss + _penalty(self.trial, l1))
-        bend = sum((gradient[k] - self.gradient[k]) * d for k, d in shift.items())
-        self.beta, self.loss = self.trial, loss
-        self.gradient, self.information = gradient, information
-        self.done = change < tolerance * (1.0 + abs(loss))
-        # Next step length from the curvature along the last move.
-        self.step = length / bend if bend > 0 else self.step * 2.0
-
-
 class CoxFit(NamedTuple):
     """Coefficients by covariate id, standard error on treatment, and how the descent ended.
 
-    ``se`` is None where the treatment coefficient has no finite optimum, or where the descent did not
-    converge.
+    ``se`` is None where the treatment coefficient has no finite optimum, where the covariates of the
+    model determine treatment, or where the descent did not converge. ``violation`` is the largest
+    breach of an optimality condition an event.
     """
 
     beta: dict[int, float]
     se: float | None
     converged: bool
     iterations: int
+    violation: float
 
 
-def _penalty(beta: dict[int, float], l1: float) -> float:
-    return l1 * sum(abs(v) for k, v in beta.items() if k != TREATMENT)
-
-
-def _long_covariates(rows: DataFrame, covariates: DataFrame | None) -> DataFrame:
-    keys = [*MODEL, "row_key", "covariate_id", "covariate_value"]
-    treatment = rows.filter("treatment = 1").select(
-        *MODEL,
-        "row_key",
-        F.lit(TREATMENT).cast("long").alias("covariate_id"),
-        F.lit(1.0).alias("covariate_value"),
+def informative_rows(matched: DataFrame) -> DataFrame:
+    """The matched rows that a stratified Cox likelihood depends on: in a stratum with an event, those
+    still at risk at its first event, if there are two or more. A stratum is a matched set, so a window
+    holds a few rows."""
+    stratum = Window.partitionBy(*MODEL, "stratum_id")
+    rows = matched.select(
+        *MODEL, *ROW, "stratum_id", "survival_time", F.when(F.col("outcome_count") > 0, 1).otherwise(0).alias("event")
+    )
+    return (
+        rows.withColumn("first_event", F.min(F.when(F.col("event") == 1, F.col("survival_time"))).over(stratum))
+        .filter("survival_time >= first_event")
+        .withColumn("held", F.count("*").over(stratum))
+        .filter("held > 1")
+        .drop("first_event", "held")
     )
-    if covariates is None:
-        return treatment
-    own = entry_of(rows).select(*MODEL, "row_key", *ENTRY).join(covariates, ENTRY).select(*keys)
-    return treatment.unionByName(own)
-
 
-def _evaluate(
-    spark: SparkSession,
-    rows: DataFrame,
-    long: DataFrame,
-    betas: dict[tuple, dict[int, float]],
-) -> dict[tuple, dict[str, float | dict[int, float]]]:
-    """Log risk sum, score residual sums and information on treatment, per model, in one job.
 
-    Risk sets are summed per stratum and day before they accumulate, so a window holds at most the
-    days of one stratum.
-    """
-    moved = [(*m, k, b) for m, beta in betas.items() for k, b in beta.items() if b != 0.0]
-    active = spark.createDataFrame(
-        list(betas), "target_id long, comparator_id long, outcome_id long"
+def packed_strata(matched: DataFrame, covariates: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """One row per informative stratum, with its subjects and their covariates in it, latest first; the
+    models by number; and the position of each covariate in its model (treatment is position 0)."""
+    rows = cut(informative_rows(matched))
+    models = cut(numbered_models(rows))
+    entries = "array<struct<p:int,v:double>>"
+    positions = None
+    if covariates is None:
+        held = rows.withColumn("entries", F.array().cast(entries))
+    else:
+        packed, positions = packed_entries(rows, covariates, models)
+        held = rows.join(packed, [*MODEL, *ROW], "left").withColumn("entries", F.coalesce("entries", F.array().cast(entries)))
+    subject = F.struct(
+        F.col("survival_time").alias("time"), "event", "treatment", "subject_id", "cohort_start_date",
+        F.col("entries.p").alias("positions"), F.col("entries.v").alias("values"),
     )
-    rows = rows.join(F.broadcast(active), MODEL, "left_semi")
-    scored = rows.withColumn("eta", F.lit(0.0))
-    if moved:
-        weights = small_side(
-            spark.createDataFrame(
-                moved,
-                "target_id long, comparator_id long, outcome_id long, covariate_id long, beta double",
-            )
+    strata = (
+        held.join(F.broadcast(models), MODEL)
+        .groupBy("model", "stratum_id")
+        .agg(F.sort_array(F.collect_list(subject), asc=False).alias("s"))
+        .select(
+            "model", F.col("s.time").alias("time"), F.col("s.event").alias("event"), F.col("s.treatment").alias("treatment"),
+            F.transform("s", lambda x: F.size(x["positions"])).alias("widths"),
+            F.flatten("s.positions").alias("positions"), F.flatten("s.values").alias("values"),
         )
-        eta = (
-            long.join(weights, [*MODEL, "covariate_id"])
-            .groupBy(*MODEL, "row_key")
-            .agg(F.sum(F.col("covariate_value") * F.col("beta")).alias("sum_eta"))
-        )
-        scored = (
-            rows.join(eta, [*MODEL, "row_key"], "left")
-            .withColumn("eta", F.coalesce("sum_eta", F.lit(0.0)))
-            .drop("sum_eta")
-        )
-    scored = scored.withColumn("w", F.exp("eta"))
-    place = [*MODEL, "stratum_id"]
-    days = scored.groupBy(*place, "survival_time").agg(
-        F.sum("w").alias("day_w"),
-        F.sum(F.col("w") * F.col("treatment")).alias("day_wt"),
-        F.sum("event").alias("d"),
-        F.sum(F.col("event") * F.col("treatment")).alias("dt"),
-    )
-    later = Window.partitionBy(*place).orderBy(F.col("survival_time").desc())
-    earlier = Window.partitionBy(*place).orderBy("survival_time")
-    risk = days.withColumn("at_risk", F.sum("day_w").over(later)).withColumn(
-        "treated_at_risk", F.sum("day_wt").over(later)
-    )
-    risk = risk.withColumn("hazard", F.sum(F.col("d") / F.col("at_risk")).over(earlier))
-    share = F.col("treated_at_risk") / F.col("at_risk")
-    totals = risk.groupBy(*MODEL).agg(
-        F.sum(F.col("d") * F.log("at_risk")).alias("value"),
-        F.sum(F.col("d") * share * (1.0 - share)).alias("information"),
-        # Events of either arm while somebody of the other arm is at risk.
-        F.sum(F.when(F.col("treated_at_risk") < F.col("at_risk") * (1 - 1e-12), F.col("dt"))).alias("told_t"),
-        F.sum(F.when(F.col("treated_at_risk") > 0, F.col("d") - F.col("dt"))).alias("told_c"),
     )
-    residuals = scored.join(
-        risk.select(*place, "survival_time", "hazard"), [*place, "survival_time"]
-    ).select(*MODEL, "row_key", (F.col("event") - F.col("w") * F.col("hazard")).alias("residual"))
-    slopes = (
-        long.join(residuals, [*MODEL, "row_key"])
-        .groupBy(*MODEL, "covariate_id")
-        .agg(F.sum(F.col("covariate_value") * F.col("residual")).alias("value"))
-        .withColumns({n: F.lit(None).cast("double") for n in ("information", "told_t", "told_c")})
-    )
-    found = totals.withColumn("covariate_id", F.lit(None).cast("long")).unionByName(slopes)
-    out = {m: {"log_risk": 0.0, "information": 0.0, "known": False, "gradient": {}} for m in betas}
-    for r in found.collect():
-        model = out[tuple(r[k] for k in MODEL)]
-        if r.covariate_id is None:
-            model["log_risk"], model["information"] = r.value or 0.0, r.information or 0.0
-            model["known"] = bool(r.told_t and r.told_c)
-        else:
-            model["gradient"][r.covariate_id] = -r.value
-    return out
+    return cut(strata), models, positions
+
+
+class _Strata:
+    """Some strata of one model as padded matrices, a row each, latest subject first."""
+
+    def __init__(self, part: pa.RecordBatch):
+        def flat(name: str) -> np.ndarray:
+            return part.column(name).flatten().to_numpy(zero_copy_only=False)
+
+        time, event, treatment, widths = (flat(c) for c in ("time", "event", "treatment", "widths"))
+        size = np.diff(part.column("time").offsets.to_numpy())
+        self.rows, self.width = len(time), int(size.max(initial=1))
+        self.at = (np.repeat(np.arange(len(size)), size), np.arange(self.rows) - np.repeat(np.cumsum(size) - size, size))
+        self.shape = (len(size), self.width)
+        days = self.padded(time.astype(np.int64), -1)
+        self.event, self.treated = self.padded(event, 0.0), self.padded(treatment, 0.0)
+        # Subjects of one day are at risk together: their first and last place.
+        self.first, self.last = np.zeros(self.shape, np.int64), np.full(self.shape, self.width - 1)
+        for j in range(1, self.width):
+            self.first[:, j] = np.where(days[:, j] == days[:, j - 1], self.first[:, j - 1], j)
+        for j in range(self.width - 2, -1, -1):
+            self.last[:, j] = np.where(days[:, j] == days[:, j + 1], self.last[:, j + 1], j)
+        self.position, self.value = flat("positions"), flat("values")
+        self.row = np.repeat(np.arange(self.rows), widths)
+
+    def padded(self, values: np.ndarray, fill) -> np.ndarray:
+        out = np.full(self.shape, fill, np.result_type(values, type(fill)))
+        out[self.at] = values
+        return out
+
+    def evaluate(self, beta: np.ndarray) -> None:
+        """Weights, sums over the risk set of each subject's day, hazards, residuals and loss at ``beta``."""
+        eta = np.bincount(self.row, self.value * beta[self.position], self.rows)
+        eta = self.padded(eta, -np.inf)
+        real = np.isfinite(eta)
+        eta = np.where(real, eta + beta[TREATMENT] * self.treated, -np.inf)
+        top = eta.max(axis=1, keepdims=True)
+        self.w = np.exp(eta - top)
+        self.at_risk = self.over_risk_set(self.w)
+        hazard = self.event / self.at_risk
+        suffix = np.cumsum(hazard[:, ::-1], axis=1)[:, ::-1]
+        self.hazard = np.take_along_axis(suffix, self.first, axis=1)
+        self.residual = np.where(real, self.w * self.hazard - self.event, 0.0)
+        self.loss = float((self.event[real] * (np.log(self.at_risk) + top - np.where(real, eta, 0.0))[real]).sum())
+
+    def over_risk_set(self, values: np.ndarray) -> np.ndarray:
+        return np.take_along_axis(np.cumsum(values, axis=1), self.last, axis=1)
+
+    def told(self) -> tuple[float, float]:
+        """Events of either arm while somebody of the other arm is at risk."""
+        treated = self.over_risk_set(self.w * self.treated)
+        other = treated < self.at_risk * (1 - 1e-12)
+        return float((self.event * self.treated * other).sum()), float((self.event * (1 - self.treated) * (treated > 0)).sum())
+
+    def gradient(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that occur (0 is treatment) and the slopes of the loss there."""
+        used, at = np.unique(np.concatenate([[TREATMENT], self.position]), return_inverse=True)
+        # Without any entry the counts would be whole numbers.
+        slopes = np.bincount(at[1:], self.value * self.residual[self.at][self.row], len(used)).astype(np.float64)
+        slopes[0] += (self.residual * self.treated).sum()
+        return used, slopes
+
+    def information(self, active: np.ndarray) -> np.ndarray:
+        """Second derivatives of the loss between the ``active`` positions (rising, treatment first)."""
+        place = np.minimum(np.searchsorted(active, self.position), len(active) - 1)
+        hit = active[place] == self.position
+        x = np.zeros((*self.shape, len(active)))
+        flat = np.zeros((self.rows, len(active)))
+        flat[self.row[hit], place[hit]] = self.value[hit]
+        x[self.at] = flat
+        x[..., 0] = self.treated
+        dense = x.reshape(-1, len(active))
+        whole = dense.T @ (dense * (self.w * self.hazard).reshape(-1, 1))
+        sums = np.take_along_axis(np.cumsum(x * self.w[..., None], axis=1), self.last[..., None], axis=1)
+        mean = (sums / self.at_risk[..., None]).reshape(-1, len(active)) * np.sqrt(self.event).reshape(-1, 1)
+        return whole - mean.T @ mean
+
+
+def _strata_of(batch: pa.RecordBatch, room: int) -> Iterator[tuple[int, _Strata]]:
+    """Strata of one model at a time, as many as padded cells allow; a larger one stays whole."""
+    model = batch.column("model").to_numpy()
+    size = np.diff(batch.column("time").offsets.to_numpy())
+    a = 0
+    for i in range(1, len(model) + 1):
+        if i == len(model) or model[i] != model[a] or (i + 1 - a) * int(size[a : i + 1].max()) > room:
+            yield int(model[a]), _Strata(batch.slice(a, i - a))
+            a = i
+
+
+def _adder(shared):
+    """Losses, gradients and, where positions are named, information matrices, summed over a partition.
+
+    State of a model: its coefficients (a column), whatever stands second, and the active positions or
+    a false value.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = shared.value
+        widest = max([len(a) for _, _, a in state.values() if isinstance(a, np.ndarray)], default=1)
+        sums = L.BlockSums()
+        for batch in batches:
+            batch = batch.filter(pa.array(np.isin(batch.column("model").to_numpy(), list(state))))
+            for model, strata in _strata_of(batch, max(1, CELLS // widest)) if batch.num_rows else ():
+                beta, _, active = state[model]
+                strata.evaluate(beta[:, 0])
+                sums.add(model, -1, np.array([strata.loss, *strata.told()]))
+                used, slopes = strata.gradient()
+                sums.scatter(model, used, slopes[:, None])
+                if isinstance(active, np.ndarray):
+                    for i, row in enumerate(strata.information(active)):
+                        sums.add(model, MATRIX_ROWS + i, row)
+            if sums.bytes > L.HELD_BYTES:
+                yield sums.flush()
+        if sums.held:
+            yield sums.flush()
+
+    return run
+
+
+def _pass(strata: DataFrame, state: dict) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    found = L.summed(strata, _adder, state)
+    return {m: b[-1][:1] for m, b in found.items()}, {m: L.gradient_of(b, state[m][0].shape) for m, b in found.items()}
+
+
+class _Newton:
+    """Newton steps of one model between its active covariates, from a point close to the optimum."""
+
+    def __init__(self, beta: np.ndarray, l1: float, iterations: int):
+        self.beta, self.l1, self.iterations = beta, l1, iterations
+        self.active = self.active_at(np.zeros_like(beta))
+        self.goal, self.step, self.from_beta, self.length = math.inf, None, beta, 1.0
+        self.se: float | None = None
+        self.converged, self.done, self.violation = False, False, math.inf
+
+    def active_at(self, gradient: np.ndarray) -> np.ndarray:
+        """Covariates other than zero, and those that an optimality condition moves away from it."""
+        on = (self.beta[:, 0] != 0) | (np.abs(gradient[:, 0]) > self.l1 * (1 + 1e-9))
+        on[TREATMENT] = True
+        found = np.flatnonzero(on)
+        if len(found) > ACTIVE:  # the steepest ones first
+            found = np.sort(found[np.argsort(-np.abs(gradient[found, 0]), kind="stable")[:ACTIVE]])
+        return found
+
+    def settle(self, loss: float, gradient: np.ndarray, matrix: np.ndarray, allowed: float) -> None:
+        """Take the sums at ``beta``: end, step back, or step on."""
+        penalty = np.array([self.l1])
+        goal = loss + self.l1 * float(np.abs(self.beta[1:]).sum())
+        self.iterations += 1
+        if goal > self.goal + 1e-10 * (1 + abs(self.goal)) and self.length > 1e-6:
+            self.length /= 2
+            self.move()
+            return
+        self.violation = float(L.violation(self.beta, gradient, penalty)[0])
+        within = np.array_equal(self.active, self.active_at(gradient)) or set(np.flatnonzero(self.beta[:, 0])) <= set(self.active)
+        if self.violation <= allowed and within:
+            self.converged = self.done = True
+            self.se = self.error(matrix)
+            return
+        slope = gradient[self.active, 0] + self.l1 * self.signs(gradient)
+        slope[0] = gradient[TREATMENT, 0]
+        ridge = 1e-10 * np.trace(matrix) / len(matrix) * np.eye(len(matrix))
+        self.step = -np.linalg.lstsq(matrix + ridge, slope, rcond=None)[0]
+        self.goal, self.from_beta, self.length = goal, self.beta, 1.0
+        self.side = self.signs(gradient)
+        self.moved = self.active
+        self.move()
+        self.active = self.active_at(gradient)
+
+    def signs(self, gradient: np.ndarray) -> np.ndarray:
+        now = self.beta[self.active, 0]
+        return np.where(now != 0, np.sign(now), -np.sign(gradient[self.active, 0]))
+
+    def move(self) -> None:
+        """From the last accepted point; a covariate that would change its sign stops at zero."""
+        beta = self.from_beta.copy()
+        to = beta[self.moved, 0] + self.length * self.step
+        crossed = to * self.side < 0
+        crossed[0] = False
+        beta[self.moved, 0] = np.where(crossed, 0.0, to)
+        self.beta = beta
+
+    def error(self, matrix: np.ndarray) -> float | None:
+        """Standard error of treatment from the observed information of the covariates that are in the
+        model: what remains of the treatment's own when those are allowed to follow (Schur complement)."""
+        on = self.beta[self.active, 0] != 0
+        on[0] = False
+        own = matrix[0, 0]
+        if on.any():
+            cross = matrix[0, on]
+            own = own - cross @ np.linalg.lstsq(matrix[np.ix_(on, on)], cross, rcond=None)[0]
+        return 1.0 / math.sqrt(own) if own > 1e-9 * max(matrix[0, 0], 1e-300) else None
+
+
+def _polish(strata: DataFrame, state: dict[int, _Newton], events: dict[int, int], max_iter: int, tolerance: float) -> None:
+    """Newton steps for all models, those whose matrices fit together at a time."""
+    waiting = sorted(state)
+    while waiting:
+        group: list[int] = []
+        cells = 0
+        while waiting and (not group or cells + len(state[waiting[0]].active) ** 2 <= MATRICES):
+            cells += len(state[waiting[0]].active) ** 2
+            group.append(waiting.pop(0))
+        for _ in range(max_iter):
+            live = {m: state[m] for m in group if not state[m].done}
+            if not live:
+                break
+            found = L.summed(strata, _adder, {m: (s.beta, None, s.active) for m, s in live.items()})
+            for m, s in live.items():
+                blocks = found[m]
+                matrix = np.stack([blocks[MATRIX_ROWS + i] for i in range(len(s.active))])
+                s.settle(float(blocks[-1][0]), L.gradient_of(blocks, s.beta.shape), matrix, tolerance * events[m])
 
 
 def cox(
     matched: DataFrame,
     covariates: DataFrame | None = None,
-    l1: float = 1.0,
-    max_iter: int = 100,
-    tolerance: float = 1e-6,
+    l1: float = math.sqrt(2.0),
+    max_iter: int = 300,
+    tolerance: float = 1e-7,
 ) -> dict[tuple, CoxFit]:
     """Coefficients and standard error on treatment of every model of the grid.
 
-    Cox models stratified on matched sets, fitted together by L1-penalised proximal gradient with a
-    backtracked step; the treatment coefficient (covariate id 0) is not penalised. Each iteration is
-    one Spark job for all models still moving. The driver holds the coefficients of all models and
-    nothing else. The standard error comes from the information on treatment with the other
-    coefficients held fixed. A model whose arms do not both have an event while the other arm is at
-    risk has no finite optimum and is not fitted.
+    Cox models stratified on matched sets with an L1 penalty (``sqrt(2 / v)`` for a Laplace prior of
+    variance v) on the covariates, each divided by its largest value; treatment (covariate id 0) is not
+    penalised. Strata are packed as rows of their own, so an iteration is one pass over them with one
+    small shuffle of sums: proximal gradients for all models together, then Newton steps among the
+    covariates in the model. A fit is converged when no optimality condition is broken by more than
+    ``tolerance`` an event. The standard error comes from the observed information of treatment and the
+    covariates in the model. A model whose arms do not both have an event while the other arm is at
+    risk has no finite optimum and is not fitted. The driver holds one group of models' coefficients.
     """
-    spark = matched.sparkSession
-    rows = cut(
-        matched.select(
-            *MODEL,
-            *ROW,
-            "stratum_id",
-            "survival_time",
-            F.when(F.col("outcome_count") > 0, 1).otherwise(0).alias("event"),
-            F.concat_ws("|", *ROW).alias("row_key"),
-        )
-    )
-    long = cut(_long_covariates(rows, covariates))
-    # Events carried by each covariate: the linear part of the likelihood is their weighted sum.
-    carried = (
-        long.join(rows.filter("event = 1").select(*MODEL, "row_key"), [*MODEL, "row_key"], "left_semi")
-        .groupBy(*MODEL, "covariate_id")
-        .agg(F.sum("covariate_value").alias("carried"))
-    )
-    linear: dict[tuple, dict[int, float]] = {}
-    for r in carried.collect():
-        linear.setdefault(tuple(r[k] for k in MODEL), {})[r.covariate_id] = r.carried
-    fits = {
-        tuple(r): _Fit() for r in rows.select(*MODEL).distinct().orderBy(*MODEL).collect()
-    }
-
-    def loss_of(model: tuple, beta: dict[int, float], log_risk: float) -> float:
-        sums = linear.get(model, {})
-        return log_risk - sum(b * sums.get(k, 0.0) for k, b in beta.items())
-
-    for model, state in _evaluate(spark, rows, long, {m: {} for m in fits}).items():
-        fit = fits[model]
-        fit.loss, fit.gradient = state["log_risk"], state["gradient"]
-        fit.information = state["information"]
-        fit.step = 1.0 / max(fit.information, 1.0)
-        fit.known = state["known"]
-    for _ in range(max_iter):
-        moving = {m: f for m, f in fits.items() if f.known and not f.done}
-        if not moving:
-            break
-        for fit in moving.values():
-            fit.propose(l1)
-        for model, state in _evaluate(
-            spark, rows, long, {m: f.trial for m, f in moving.items()}
-        ).items():
-            fit = fits[model]
-            loss = loss_of(model, fit.trial, state["log_risk"])
-            fit.settle(loss, state["gradient"], state["information"], l1, tolerance)
-    open_ones = sum(f.known and not f.done for f in fits.values())
+    strata, models, positions = packed_strata(matched, covariates)
+    # Each model of the grid, also one without an informative stratum.
+    names = {r["model"]: tuple(r[k] for k in MODEL) for r in models.collect()}
+    out = {tuple(r): CoxFit({}, None, False, 0, math.inf) for r in matched.select(*MODEL).distinct().orderBy(*MODEL).collect()}
+    squares = {m: np.zeros(0) for m in names}
+    if positions is not None:
+        squares |= scaled_squares(positions)
+    events = {r["model"]: r["n"] for r in strata.groupBy("model").agg(
+        F.sum(F.aggregate("event", F.lit(0), lambda a, x: a + x)).alias("n")).collect()}
+    sizes = {m: (len(squares[m]), events[m], 0.5) for m in names}
+    betas: dict[int, np.ndarray] = {}
+    for group in L.split(sizes, 1):
+        zero = {m: np.zeros((sizes[m][0] + 1, 1)) for m in group}
+        told = L.summed(strata, _adder, {m: (zero[m], None, False) for m in group})
+        known = [m for m in group if told[m][-1][1] > 0 and told[m][-1][2] > 0]
+        if not known:
+            continue
+        own = {m: sizes[m] for m in known}
+        problem = {m: L.Problems(np.array([l1]), np.array([-1]), np.array([-1])) for m in known}
+        fitted = L.fit(strata, own, squares, problem, max_iter, NEAR, zero, _pass)
+        state = {m: _Newton(f.beta, l1, int(f.iterations[0])) for m, f in fitted.items()}
+        _polish(strata, state, events, max_iter, tolerance)
+        for m, s in state.items():
+            betas[m] = s.beta[:, 0]
+            out[names[m]] = CoxFit({TREATMENT: float(s.beta[0, 0])}, s.se, s.converged, s.iterations, s.violation / events[m])
+    for m, k, b in _named(positions, betas):
+        out[names[m]].beta[k] = b
+    open_ones = sum(bool(f.beta) and not f.converged for f in out.values())
     if open_ones:
-        log.warning("%d of %d Cox models did not converge in %d iterations", open_ones, len(fits), max_iter)
+        log.warning("%d of %d Cox models did not converge in %d iterations", open_ones, len(out), max_iter)
+    return out
 
-    def se(fit: _Fit) -> float | None:
-        good = fit.known and fit.done and fit.information > 0
-        return 1.0 / math.sqrt(fit.information) if good else None
 
-    return {m: CoxFit(f.beta, se(f), f.done, f.iterations) for m, f in fits.items()}
+def _named(positions: DataFrame | None, betas: dict[int, np.ndarray]) -> Iterator[tuple[int, int, float]]:
+    """Covariate ids and coefficients, on the covariates' own scale, of what is in the models."""
+    inside = [(m, int(p), float(b[p])) for m, b in betas.items() for p in np.flatnonzero(b) if p != TREATMENT]
+    if positions is None or not inside:
+        return
+    held = positions.sparkSession.createDataFrame(inside, "model int, position long, beta double")
+    for r in positions.join(F.broadcast(held), ["model", "position"]).select("model", "covariate_id", F.col("beta") / F.col("largest")).collect():
+        yield r[0], r[1], r[2]
 
 
 def cox_grid(matched: DataFrame, covariates: DataFrame | None = None, **options) -> DataFrame:
     """``cox`` as one row per model: ``log_rr`` and ``se_log_rr``, NULL where there is no estimate, and
     whether and after how many iterations the fit converged."""
+    return cox_fits(matched, covariates, **options)[0]
+
+
+def cox_fits(matched: DataFrame, covariates: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """``cox_grid`` and the coefficients of the covariates in the models, one row each."""
+    found = cox(matched, covariates, **options)
+    spark = matched.sparkSession
+    keys = "target_id long, comparator_id long, outcome_id long, "
     fitted = [
         (*model, f.beta.get(TREATMENT) if f.se is not None else None, f.se, f.converged, f.iterations)
-        for model, f in cox(matched, covariates, **options).items()
+        for model, f in found.items()
     ]
-    return matched.sparkSession.createDataFrame(
-        fitted,
-        "target_id long, comparator_id long, outcome_id long, log_rr double, se_log_rr double, "
-        "converged boolean, iterations int",
+    inside = [(*model, k, b) for model, f in found.items() for k, b in f.beta.items()]
+    return (
+        spark.createDataFrame(fitted, keys + "log_rr double, se_log_rr double, converged boolean, iterations int"),
+        spark.createDataFrame(inside, keys + "covariate_id long, coefficient double"),
     )
