@@ -38,6 +38,7 @@ HEADLINE = (
     "p11_balance",
     "m1_cox_pairs",
     "m2_cox_iterative",
+    "m2_cox_covariate",
     "m8_null_grid",
     "m9_calibrated_p",
     "r1_km",
@@ -63,6 +64,8 @@ def main() -> None:
     timed("stage_cohorts", lambda: design.cohorts(study))
     timed("stage_covariates", lambda: feature_queries.covariates(study))
     timed("stage_population", lambda: study_queries.scored(study))
+    # Ten folds by ten repetitions for every variance tried: once, cold.
+    timed("p6_propensity", lambda: catalog.QUERIES["p6_propensity"](spark, sf_dir).write.format("noop").mode("overwrite").save())
     for name in HEADLINE:
         def run() -> None:
             catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

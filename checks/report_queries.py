@@ -349,12 +349,31 @@ def matched_cohorts(study):
 )
 def stage_artefact(study):
     path = folder(study, "strat_pop")
-    sinks.write_stage(population(study), path, MODEL)
-    return sinks.read_stage(study.spark, path, target_id=2, outcome_id=12).select(
+    sinks.write_stage(population(study), path, MODEL, "1")
+    # A second analysis in the same folder, and one that is run again with a smaller grid.
+    sinks.write_stage(population(study).withColumn("time_at_risk", F.lit(0)), path, MODEL, "2")
+    return sinks.read_stage(study.spark, path, "1", target_id=2, outcome_id=12).select(
         "treatment", "subject_id", "time_at_risk"
     )
 
 
+@query(
+    "s7_rerun_with_a_smaller_grid",
+    f"""SELECT '1' AS analysis_id, {MODEL_SQL}, count(*) AS subjects FROM population WHERE outcome_id = 12 GROUP BY ALL
+        UNION ALL SELECT '2', {MODEL_SQL}, count(*) FROM population GROUP BY ALL""",
+)
+def smaller_grid(study):
+    path = folder(study, "reruns")
+    sinks.write_stage(population(study), path, MODEL, "1")
+    sinks.write_stage(population(study), path, MODEL, "2")
+    sinks.write_stage(population(study).filter("outcome_id = 12"), path, MODEL, "1")
+    parts = [
+        sinks.read_stage(study.spark, path, a).groupBy(F.lit(a).alias("analysis_id"), *MODEL).agg(F.count("*").alias("subjects"))
+        for a in ("1", "2")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "s8_report",
     f"""SELECT 't' || target_id || '_c' || comparator_id AS sheet, outcome_id, treated, comparator

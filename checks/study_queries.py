@@ -8,6 +8,7 @@ from checks import design
 from checks.feature_queries import chads2, chads2vasc, covariates, days_with_diagnosis
 from checks.registry import VIEWS, query
 from twinarm.operators import balance as B
+from twinarm.operators import families as X
 from twinarm.operators import history as H
 from twinarm.operators import matching as M
 from twinarm.operators import population as P
@@ -224,7 +225,7 @@ def propensity(study):
     """L1 logistic scores of every model on all families. What SQL can tell: an intercept that is not
     penalised makes the mean score the treated share, and no optimality condition is broken."""
     pop, cov = population(study), covariates(study)
-    scored, fits, coefficients = PS.propensity_fits(pop, cov, repetitions=1)
+    scored, fits, coefficients = PS.propensity_fits(pop, cov)
     # Conditions from the scores alone: gradients by covariate, against the penalty of the fit.
     rows = PS.entry_of(scored).select(*MODEL, *ENTRY, (F.col("ps") - F.col("treatment")).alias("residual"))
     largest = rows.join(cov, ENTRY).groupBy(*MODEL, "covariate_id").agg(
@@ -254,6 +255,44 @@ def propensity(study):
     )
 
 
+SCORE_COVARIATE, PRIOR_VARIANCE = X.ANALYSIS["chads2vasc"], 0.1
+VIEWS["score_population"] = f"""
+    SELECT {MODEL_SQL}, treatment AS y, x / largest AS x, x / largest - avg(x / largest) OVER (PARTITION BY {MODEL_SQL}) AS c, largest
+    FROM (SELECT p.*, coalesce(v.covariate_value, 0) AS x, max(abs(v.covariate_value)) OVER (PARTITION BY {MODEL_SQL}) AS largest
+          FROM (SELECT *, CASE WHEN treatment = 1 THEN target_id ELSE comparator_id END AS cohort_definition_id FROM population) p
+          LEFT JOIN (SELECT * FROM x_scores WHERE covariate_id = {SCORE_COVARIATE}) v
+            USING (cohort_definition_id, subject_id, cohort_start_date))"""
+# Damped Newton steps for the intercept, damped soft-thresholded ones for the centred score, side by side.
+VIEWS["score_propensity"] = f"""
+    WITH RECURSIVE steps AS (
+      SELECT {MODEL_SQL}, 0 AS k, ln(avg(y) / (1 - avg(y)))::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM score_population GROUP BY {MODEL_SQL}
+      UNION ALL
+      SELECT {MODEL_SQL}, k + 1, b0 + 0.8 * g0 / h00,
+             0.2 * b1 + 0.8 * sign(b1 + g1 / h11) * greatest(abs(b1 + g1 / h11) - sqrt(2.0 / {PRIOR_VARIANCE}) / h11, 0)
+      FROM (SELECT {MODEL_SQL}, any_value(k) AS k, any_value(b0) AS b0, any_value(b1) AS b1, sum(y - q) AS g0, sum(c * (y - q)) AS g1,
+                   sum(q * (1 - q)) AS h00, sum(c * c * q * (1 - q)) AS h11
+            FROM (SELECT s.*, y, c, 1 / (1 + exp(-b0 - b1 * c)) AS q FROM steps s JOIN score_population USING ({MODEL_SQL}) WHERE k < 120)
+            GROUP BY {MODEL_SQL}))
+    SELECT {MODEL_SQL}, b0 - b1 * mean AS intercept, CASE WHEN abs(b1) < 1e-9 THEN 0 ELSE b1 / largest END AS coefficient
+    FROM steps JOIN (SELECT {MODEL_SQL}, avg(x) AS mean, any_value(largest) AS largest FROM score_population GROUP BY {MODEL_SQL})
+      USING ({MODEL_SQL}) WHERE k = 120"""
+
+
+@query(
+    "p6_one_covariate",
+    f"""SELECT {MODEL_SQL}, round(intercept, 5) AS intercept, round(coefficient, 5) AS coefficient FROM score_propensity""",
+)
+def propensity_on_a_score(study):
+    """The model of treatment on one risk score at a fixed variance, solved by other steps in SQL."""
+    score = covariates(study).filter(F.col("covariate_id") == SCORE_COVARIATE)
+    _, _, inside = PS.propensity_fits(population(study), score, variance=PRIOR_VARIANCE, tolerance=1e-10)
+    value = F.max(F.when(F.col("covariate_id") == SCORE_COVARIATE, F.col("coefficient")))
+    return inside.groupBy(*MODEL).agg(
+        F.round(F.max(F.when(F.col("covariate_id") == 0, F.col("coefficient"))), 5).alias("intercept"),
+        F.round(F.coalesce(value, F.lit(0.0)), 5).alias("coefficient"),
+    )
+
+
 ENTRY_SQL = "CASE WHEN treatment = 1 THEN target_id ELSE comparator_id END"
 VIEWS["long_rows"] = f"""
     SELECT p.target_id, p.comparator_id, p.outcome_id, p.treatment, p.subject_id, p.kept,

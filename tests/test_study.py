@@ -157,7 +157,7 @@ def test_propensity_recovers_the_model(frame):
     # A second model with the arms of the first swapped, fitted in the same passes.
     other = pop.withColumn("target_id", F.lit(2).cast("long")).withColumn("comparator_id", F.lit(1).cast("long")).withColumn(
         "treatment", 1 - F.col("treatment"))
-    scored, fits, coefficients = PS.propensity_fits(pop.unionByName(other), cov, variances=(0.01, 1.0, 10.0), folds=3, repetitions=2, tolerance=1e-5)
+    scored, fits, coefficients = PS.propensity_fits(pop.unionByName(other), cov, folds=3, repetitions=2, tolerance=1e-5)
     rows = scored.filter("target_id = 1").collect()
     ps = np.zeros(len(treated))
     for r in rows:
@@ -178,12 +178,55 @@ def test_propensity_recovers_the_model(frame):
         assert abs(slope) <= penalty + 0.01 and (j + 1 not in beta or abs(slope + penalty * np.sign(beta[j + 1])) < 0.01)
 
 
+def test_search_ends_at_the_best_of_its_neighbours(frame):
+    """Found variances are at least as good as those a quarter of a decade away, tried one by one."""
+    _, _, pop, cov = model_rows(frame, 200, 7)
+    rows, positions = PS.packed_rows(pop, cov, 1, 4, 2)
+    squares = PS.scaled_squares(positions)
+    sizes = {1: (len(squares[1]), 200, pop.agg(F.avg("treatment")).first()[0])}
+    found, losses, _ = PS.search_variance(rows, sizes, squares, 0.01, 4, 2, 1000, 2e-4)
+    r, f = np.repeat([0, 1], 4), np.tile(np.arange(4), 2)
+
+    def loss(variance):
+        problems = {1: PS.L.Problems(np.full(8, math.sqrt(2 / variance)), r, f)}
+        return PS.L.held_out_loss(rows, PS.L.fit(rows, sizes, squares, problems, 1000, 2e-4), problems)[1].sum()
+
+    best = loss(found[1])
+    assert best == pytest.approx(losses[1][found[1]], rel=1e-3) and min(losses[1].values()) == losses[1][found[1]]
+    assert 0.01 in losses[1] and len(losses[1]) >= 7
+    for near in (found[1] * 10**0.25, found[1] / 10**0.25):
+        assert loss(near) >= best - 1e-3 * abs(best)
+
+
+def test_descent_among_a_few_covariates_ends_where_all_would(frame):
+    """Covariates that begin outside the working set come in once their slope exceeds the penalty."""
+    rng = np.random.default_rng(11)
+    x = (rng.random((250, 30)) < 0.3).astype(float)
+    x[:, 1] = np.where(rng.random(250) < 0.8, x[:, 0], x[:, 1])
+    treated = rng.random(250) < 1 / (1 + np.exp(-(x @ rng.normal(0, 0.7, 30) - 0.5)))
+    pop = frame([(1, 2, 9, int(t), i, "2000-01-01") for i, t in enumerate(treated)],
+                "target_id long, comparator_id long, outcome_id long, treatment int, subject_id long, cohort_start_date date")
+    cov = frame([(1 if treated[i] else 2, i, "2000-01-01", j + 1, 1.0) for i, j in np.argwhere(x).tolist()],
+                "cohort_definition_id long, subject_id long, cohort_start_date date, covariate_id long, covariate_value double")
+    for variance in (0.05, 1.0):
+        scored, fits, inside = PS.propensity_fits(pop, cov, variance=variance, tolerance=1e-5)
+        ps = np.zeros(250)
+        for row in scored.collect():
+            ps[row.subject_id] = row.ps
+        slope, penalty = x.T @ (ps - treated), math.sqrt(2 / variance)
+        beta = {row.covariate_id: row.coefficient for row in inside.collect()}
+        assert fits.first().converged and abs((ps - treated).sum()) < 5e-3 and len(beta) > 3
+        for j in range(30):
+            b = beta.get(j + 1, 0.0)
+            assert abs(slope[j] + penalty * np.sign(b)) < 5e-3 if b else abs(slope[j]) <= penalty + 5e-3
+
+
 def test_propensity_without_covariates_and_unconverged(frame):
     _, treated, pop, cov = model_rows(frame, 80)
-    scored, fits, coefficients = PS.propensity_fits(pop, cov.limit(0), variances=(1.0,))
+    scored, fits, coefficients = PS.propensity_fits(pop, cov.limit(0), variance=1.0)
     assert {round(r.ps, 6) for r in scored.collect()} == {round(float(treated.mean()), 6)}
     assert [r.covariate_id for r in coefficients.collect()] == [0]
-    _, fits, _ = PS.propensity_fits(pop, cov, variances=(1.0,), max_iter=1, tolerance=1e-12)
+    _, fits, _ = PS.propensity_fits(pop, cov, variance=1.0, max_iter=1, tolerance=1e-12)
     assert not fits.first().converged
 
 
