@@ -331,6 +331,62 @@ def rule_mask(study):
     )
 
 
+#: Rules of a definition of its own: no excluding diagnosis, treated before, seen for a year.
+RULES = (
+    C.InclusionRule("no excluding diagnosis", Group("ALL", (design.NO_EXCLUSION_DIAGNOSIS,))),
+    C.InclusionRule("treated before", design.ANY_FIRST_LINE),
+    C.InclusionRule("not treated twice as hard", Group("ANY", (
+        Correlated(Criterion("drug_era", 1), 0, -200, max_count=0), Correlated(Criterion("drug_era", 34), 0, -200, max_count=0)))),
+)
+RULED = C.CohortDefinition(
+    7, (Criterion("procedure_occurrence", 20), Criterion("procedure_occurrence", 35)), 30, 0, "All", None, "All", "First", RULES)
+VIEWS["ruled_primary"] = """
+    SELECT q.person_id, q.procedure_date AS start_date, CASE q.codeset_id WHEN 20 THEN 0 ELSE 1 END AS source,
+           q.procedure_occurrence_id AS event_id, o.op_start, o.op_end
+    FROM procedures q JOIN observation_period o ON o.person_id = q.person_id
+     AND q.procedure_date BETWEEN o.op_start AND o.op_end
+    WHERE q.codeset_id IN (20, 35) AND o.op_start + 30 <= q.procedure_date"""
+VIEWS["hard_days"] = """
+    SELECT e.person_id, k.codeset_id, e.drug_era_start_date AS d FROM drug_era e
+    JOIN codesets k ON k.concept_id = e.drug_concept_id AND k.codeset_id IN (1, 34)"""
+VIEWS["ruled"] = """
+    SELECT p.*, CAST((CASE WHEN NOT EXISTS (SELECT 1 FROM exclusion_days x WHERE x.person_id = p.person_id
+               AND x.d BETWEEN p.op_start AND p.start_date) THEN 1 ELSE 0 END)
+         + (CASE WHEN EXISTS (SELECT 1 FROM treated_drug t WHERE t.person_id = p.person_id AND t.start_date >= p.op_start
+               AND t.start_date < p.start_date) THEN 2 ELSE 0 END)
+         + (CASE WHEN (SELECT count(DISTINCT codeset_id) FROM hard_days h WHERE h.person_id = p.person_id
+               AND h.d BETWEEN greatest(p.op_start, p.start_date - 200) AND p.start_date) < 2 THEN 4 ELSE 0 END) AS BIGINT) AS mask
+    FROM ruled_primary p"""
+
+
+@query("c17_definition_mask", "SELECT person_id, source, event_id, mask AS inclusion_rule_mask FROM ruled")
+def definition_mask(study):
+    """All rules of a definition as bits of one mask, decided in one pass over shared criterion days."""
+    masked = C.ruled_events(study.cdm, design.codesets(study), RULED)
+    return masked.select("person_id", "source", "event_id", "inclusion_rule_mask")
+
+
+@query(
+    "c17_ruled_cohort",
+    """SELECT CAST(7 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, start_date AS cohort_start_date, op_end AS cohort_end_date
+       FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY start_date, source, event_id) AS n FROM ruled WHERE mask = 7)
+       WHERE n = 1""",
+)
+def ruled_cohort(study):
+    return C.cohort_from_definition(study.cdm, design.codesets(study), RULED)
+
+
+@query(
+    "c28_rule_attrition",
+    """SELECT step, label, count(DISTINCT person_id) AS persons, count(person_id) AS events
+       FROM (VALUES (0, 'qualified events', 0), (1, 'no excluding diagnosis', 1), (2, 'treated before', 3),
+                    (3, 'not treated twice as hard', 7)) AS v(step, label, bits)
+       LEFT JOIN ruled ON ruled.mask & bits = bits GROUP BY step, label""",
+)
+def rule_attrition(study):
+    return C.rule_attrition(C.ruled_events(study.cdm, design.codesets(study), RULED), RULED)
+
+
 @query(
     "c18_expression_limit",
     """SELECT person_id, start_date FROM (SELECT *, row_number() OVER (PARTITION BY person_id

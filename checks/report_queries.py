@@ -1,5 +1,10 @@
 """Queries on survival reports, Table 1, and sources and sinks."""
 
+import json
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import design
@@ -21,10 +26,12 @@ from checks.study_queries import (
 from twinarm.operators import history as H
 from twinarm.operators import survival as R
 from twinarm.operators import table1 as T
+from twinarm.operators.cohorts import cohort_from_definition, definition_from_json, definition_to_json
 from twinarm.operators.demographics import age_groups
 from twinarm.session import scratch_folder
 from twinarm.sources import cdm as SRC
 from twinarm.sources import sinks
+from twinarm.sources.definitions import definition_nodes, documents, node_items
 
 ARM_SQL = f"{MODEL_SQL}, treatment"
 
@@ -343,6 +350,51 @@ def matched_cohorts(study):
     )
 
 
+def stored_definitions(study):
+    """The study's definitions with their concept sets as JSON files, one for each cohort."""
+    path = folder(study, "definitions")
+    docs = []
+    for definition in design.DEFINITIONS.values():
+        sets: dict = {}
+        for codeset, concept, excluded, below in design.ITEMS:
+            item = {"concept": {"CONCEPT_ID": concept}, "isExcluded": excluded}
+            sets.setdefault(codeset, []).append(item | ({"includeDescendants": True} if below else {}))
+        spec = definition_to_json(definition) | {
+            "name": f"Cohort {definition.cohort_id}",
+            "ConceptSets": [{"id": k, "name": f"set {k}", "expression": {"items": v}} for k, v in sets.items()],
+        }
+        docs.append((json.dumps(spec), definition.cohort_id))
+    stored = study.spark.createDataFrame(docs, "value string, cohort_id int").repartition(len(docs), "cohort_id")
+    stored.write.mode("overwrite").partitionBy("cohort_id").text(path)
+    return definition_nodes(study.spark, path)
+
+
+@query(
+    "s3_definitions",
+    "SELECT * FROM arms UNION ALL SELECT * FROM outcomes",
+)
+def definitions(study):
+    """Cohorts built from definitions that were stored, flattened to rows and put together again."""
+    parts = []
+    for name, spec in documents(stored_definitions(study)).items():
+        cohort_id = int(re.search(r"cohort_id=(\d+)", name).group(1))
+        parts.append(cohort_from_definition(study.cdm, design.codesets(study), definition_from_json(cohort_id, spec)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "v8_items",
+    f"""SELECT codeset_id, concept_id, is_excluded, include_descendants, {len(design.DEFINITIONS)} AS definitions,
+               (SELECT count(*) FROM concept c WHERE c.concept_id = i.concept_id) AS known FROM items i""",
+)
+def json_items(study):
+    """Items of the concept sets of all stored definitions, with what the vocabulary knows of them."""
+    items = node_items(stored_definitions(study)).groupBy("codeset_id", "concept_id", "is_excluded", "include_descendants").agg(
+        F.count("*").cast("int").alias("definitions"))
+    concepts = study.cdm["concept"].groupBy("concept_id").agg(F.count("*").alias("known"))
+    return items.join(concepts, "concept_id", "left").withColumn("known", F.coalesce("known", F.lit(0)))
+
+
 @query(
     "s7_stage_artefact",
     "SELECT treatment, subject_id, time_at_risk FROM population WHERE target_id = 2 AND outcome_id = 12",

@@ -8,6 +8,7 @@ from checks import design
 from checks.feature_queries import chads2, chads2vasc, covariates, days_with_diagnosis
 from checks.registry import VIEWS, query
 from twinarm.operators import balance as B
+from twinarm.operators import cohorts as C
 from twinarm.operators import families as X
 from twinarm.operators import history as H
 from twinarm.operators import matching as M
@@ -293,6 +294,29 @@ def propensity_on_a_score(study):
     )
 
 
+VIEWS["entered"] = f"""
+    SELECT {MODEL_SQL}, CASE WHEN cohort_definition_id = target_id THEN 1 ELSE 0 END AS treatment, subject_id
+    FROM (SELECT target_id, comparator_id, CAST(o AS BIGINT) AS outcome_id FROM comparisons,
+            (VALUES {", ".join(f"({o})" for o in design.OUTCOMES)}) AS v(o))
+    JOIN arms ON cohort_definition_id IN (target_id, comparator_id)"""
+
+
+@query(
+    "c28_study_attrition",
+    f"""SELECT {MODEL_SQL}, treatment, step, any_value(label) AS label, count(DISTINCT subject_id) AS subjects
+        FROM (SELECT {MODEL_SQL}, treatment, subject_id, 0 AS step, 'cohort entry' AS label FROM entered
+              UNION ALL SELECT {MODEL_SQL}, treatment, subject_id, 1, 'in one arm only' FROM windowed
+              UNION ALL SELECT {MODEL_SQL}, treatment, subject_id, 2, 'no earlier outcome' FROM windowed WHERE NOT prior_outcome
+              UNION ALL SELECT {MODEL_SQL}, treatment, subject_id, 3, 'enough time at risk' FROM population
+              UNION ALL SELECT {MODEL_SQL}, treatment, subject_id, 4, 'matched' FROM matched)
+        GROUP BY {MODEL_SQL}, treatment, step""",
+)
+def attrition_to_the_end(study):
+    """From cohort entry to the matched set, per model and arm, as one aggregate over one number a subject."""
+    judged = P.with_outcomes(pairs(study), grid(study), outcome_rows(study))
+    return C.study_attrition(design.arms(study), grid(study), judged, exact_matched(study))
+
+
 ENTRY_SQL = "CASE WHEN treatment = 1 THEN target_id ELSE comparator_id END"
 VIEWS["long_rows"] = f"""
     SELECT p.target_id, p.comparator_id, p.outcome_id, p.treatment, p.subject_id, p.kept,

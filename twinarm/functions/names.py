@@ -6,12 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A tag in brackets with the space or underscore behind it.
+TAG = r"\[.*?\][ _]"
+
+
+def untagged(name: Column) -> Column:
+    return F.regexp_replace(name, TAG, "")
+
+
 def underscored_name(name: Column, lower: bool = False) -> Column:
-    """Cohort name with spaces as underscores and leading ``[tag]_`` parts removed."""
-    stripped = F.regexp_replace(F.replace(name, F.lit(" "), F.lit("_")), r"\[(.*?)\]_", "")
-    return F.lower(stripped) if lower else stripped
+    """Cohort name without tags, words joined by underscores."""
+    joined = F.translate(untagged(name), " ", "_")
+    return F.lower(joined) if lower else joined
 
 
 def display_name(name: Column) -> Column:
-    """Cohort name without ``[tag]`` parts, words separated by spaces."""
-    return F.replace(underscored_name(name), F.lit("_"), F.lit(" "))
+    """Cohort name without tags, words separated by spaces."""
+    return F.translate(untagged(name), "_", " ")

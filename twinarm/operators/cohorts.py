@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.operators.criteria import Correlated, Criterion, Group, criterion_events, filter_group
+from twinarm.operators.criteria import Correlated, Criterion, Group, criterion_events, filter_group, group_mask
 from twinarm.operators.events import end_or_next_day, first_event, primary_events
 from twinarm.operators.reach import near_index
 from twinarm.session import small_side
@@ -18,6 +18,12 @@ from twinarm.sources.cdm import Cdm
 COHORT_COLUMNS = ["cohort_definition_id", "subject_id", "cohort_start_date", "cohort_end_date"]
 
 
+@dataclass(frozen=True)
+class InclusionRule:
+    name: str
+    group: Group
+
+
 @dataclass(frozen=True)
 class CohortDefinition:
     cohort_id: int
@@ -28,6 +34,7 @@ class CohortDefinition:
     group: Group | None = None
     qualified_limit: str = "All"
     expression_limit: str = "All"
+    rules: tuple[InclusionRule, ...] = ()
 
 
 def limit_events(events: DataFrame, limit: str) -> DataFrame:
@@ -100,10 +107,49 @@ def build_cohort(events: DataFrame, cohort_id: int, ends: DataFrame | None = Non
     )
 
 
+def ruled_events(cdm: Cdm, codesets: DataFrame, definition: CohortDefinition) -> DataFrame:
+    """Qualified events with the mask of the inclusion rules they meet, all rules decided in one pass."""
+    events = qualified_events(cdm, codesets, definition)
+    return group_mask(events, [r.group for r in definition.rules], cdm, codesets, "inclusion_rule_mask")
+
+
+def rule_attrition(masked: DataFrame, definition: CohortDefinition) -> DataFrame:
+    """Persons and events left after each inclusion rule: those that meet it and all rules before.
+
+    A person survives as long as any of its events does, which is one number for each person, so
+    all steps come from one aggregate.
+    """
+    names = ["qualified events", *[r.name for r in definition.rules]]
+    # The lowest bit that is missing ends the run of rules met.
+    met = F.lit(len(names) - 1)
+    for i in range(len(definition.rules) - 1, -1, -1):
+        met = F.when(F.col("inclusion_rule_mask").bitwiseAND(F.lit(1 << i)) == 0, F.lit(i)).otherwise(met)
+    persons = masked.groupBy("person_id").agg(
+        F.max(met).alias("last"),
+        *[F.sum(F.when(met == i, 1).otherwise(0)).alias(f"events_{i}") for i in range(len(names))],
+    )
+    ended = persons.groupBy("last").agg(
+        F.count("*").alias("persons"), *[F.sum(f"events_{i}").alias(f"events_{i}") for i in range(len(names))]
+    )
+    total = ended.agg(*[
+        F.struct(
+            F.lit(i).alias("step"), F.lit(name).alias("label"),
+            F.coalesce(F.sum(F.when(F.col("last") >= i, F.col("persons"))), F.lit(0)).alias("persons"),
+            F.coalesce(F.sum(reduce(lambda a, b: a + b, [F.col(f"events_{j}") for j in range(i, len(names))])), F.lit(0)).alias("events"),
+        ).alias(f"s{i}")
+        for i, name in enumerate(names)
+    ])
+    return total.select(F.inline(F.array(*[f"s{i}" for i in range(len(names))])))
+
+
 def cohort_from_definition(
     cdm: Cdm, codesets: DataFrame, definition: CohortDefinition
 ) -> DataFrame:
-    events = qualified_events(cdm, codesets, definition)
+    if definition.rules:
+        masked = ruled_events(cdm, codesets, definition)
+        events = meets_all_rules(masked, len(definition.rules)).drop("inclusion_rule_mask")
+    else:
+        events = qualified_events(cdm, codesets, definition)
     if definition.primary_limit != "First" and definition.qualified_limit != "First":
         events = limit_events(events, definition.expression_limit)
     return build_cohort(events, definition.cohort_id)
@@ -173,6 +219,51 @@ def attrition(steps: list[tuple[str, DataFrame]], arm: list[str], subject: str)
     )
 
 
+def steps_survived(steps: list[tuple[str, DataFrame]], keys: list[str], subject: str) -> DataFrame:
+    """Subjects left after each step by ``keys``, where a step's table holds ``last``, the number of the
+    last step that its rows have passed; ``steps`` names them in order. A subject counts with the
+    furthest of its rows, so one aggregate serves all steps, and no subject is counted distinctly.
+    """
+    rows = reduce(DataFrame.unionByName, [df.select(*keys, F.col(subject).alias("subject"), "last") for _, df in steps if df is not None])
+    furthest = rows.groupBy(*keys, "subject").agg(F.max("last").alias("last"))
+    ended = furthest.groupBy(*keys).agg(*[
+        F.sum(F.when(F.col("last") >= i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(steps))
+    ])
+    lines = F.array(*[
+        F.struct(F.lit(i).alias("step"), F.lit(label).alias("label"), F.col(f"n{i}").alias("subjects")) for i, (label, _) in enumerate(steps)
+    ])
+    return ended.select(*keys, F.inline(lines))
+
+
+def study_attrition(
+    arms: DataFrame, grid: DataFrame, judged: DataFrame, matched: DataFrame, min_days: int = 1
+) -> DataFrame:
+    """Subjects of each arm and model left from cohort entry to the matched set.
+
+    ``judged`` are the entries of one arm only with their outcomes (``with_outcomes``); ``grid`` is the
+    caller's short list of models.
+    """
+    model = ["target_id", "comparator_id", "outcome_id"]
+    sides = F.explode(F.array(
+        F.struct(F.col("target_id").alias("cohort_definition_id"), F.lit(1).alias("treatment")),
+        F.struct(F.col("comparator_id").alias("cohort_definition_id"), F.lit(0).alias("treatment")),
+    ))
+    models = grid.select(*model, sides.alias("side")).select(*model, "side.*")
+    entered = arms.select("cohort_definition_id", "subject_id").join(F.broadcast(models), "cohort_definition_id")
+    passed = F.when(F.col("prior_outcome"), 1).when(F.col("time_at_risk") < min_days, 2).otherwise(3)
+    return steps_survived(
+        [
+            ("cohort entry", entered.withColumn("last", F.lit(0))),
+            ("in one arm only", judged.withColumn("last", passed)),
+            ("no earlier outcome", None),
+            ("enough time at risk", None),
+            ("matched", matched.withColumn("last", F.lit(4))),
+        ],
+        [*model, "treatment"],
+        "subject_id",
+    )
+
+
 def _window_days(side: dict) -> int | None:
     if side.get("Days") is None:
         return None
@@ -250,9 +341,13 @@ def _group_from_json(spec: dict) -> Group:
 
 def definition_from_json(cohort_id: int, spec: dict) -> CohortDefinition:
     """A stored cohort definition (already loaded) as a ``CohortDefinition``."""
-    for part in ("InclusionRules", "CensoringCriteria", "EndStrategy"):
+    for part in ("CensoringCriteria", "EndStrategy"):
         if spec.get(part):
             raise ValueError(f"unsupported in a definition: {part}")
+    for rule in spec.get("InclusionRules") or []:
+        _refuse("an inclusion rule", rule, {"name", "description", "expression"})
+        if not rule.get("expression"):
+            raise ValueError("unsupported in an inclusion rule: no expression")
     primary = spec["PrimaryCriteria"]
     extra = spec.get("AdditionalCriteria")
     return CohortDefinition(
@@ -264,4 +359,68 @@ def definition_from_json(cohort_id: int, spec: dict) -> CohortDefinition:
         _group_from_json(extra) if extra else None,
         spec["QualifiedLimit"]["Type"],
         spec["ExpressionLimit"]["Type"],
+        tuple(
+            InclusionRule(r.get("name", ""), _group_from_json(r["expression"]))
+            for r in spec.get("InclusionRules") or []
+        ),
     )
+
+
+_DOMAIN_NAMES = {table: name for name, table in JSON_DOMAINS.items()}
+
+
+def _criterion_to_json(c: Criterion) -> dict:
+    body: dict = {}
+    if c.codeset_id is not None:
+        body["CodesetId"] = c.codeset_id
+    if c.first:
+        body["First"] = True
+    if c.date_range:
+        body["OccurrenceStartDate"] = {"Value": str(c.date_range[0]), "Extent": str(c.date_range[1]), "Op": "bt"}
+    for key, ids in (("VisitType", c.visit_types), ("ConditionType", c.record_types)):
+        if ids:
+            body[key] = [{"CONCEPT_ID": i} for i in ids]
+    if c.nested:
+        body["CorrelatedCriteria"] = _group_to_json(c.nested)
+    return {_DOMAIN_NAMES[c.domain]: body}
+
+
+def _side_to_json(days: int | None) -> dict:
+    return {"Coeff": -1} if days is None else {"Days": abs(days), "Coeff": -1 if days < 0 else 1}
+
+
+def _group_to_json(group: Group) -> dict:
+    entries, groups = [], []
+    for member in group.members:
+        if isinstance(member, Group):
+            groups.append(_group_to_json(member))
+            continue
+        if member.min_count is not None and member.max_count is not None and member.min_count != member.max_count:
+            raise ValueError("a stored definition has no count between two numbers")
+        kind, count = (0, member.min_count) if member.min_count == member.max_count else (
+            (2, member.min_count) if member.max_count is None else (1, member.max_count))
+        if kind == 1 and count == 0:
+            kind = 0
+        entries.append({
+            "Criteria": _criterion_to_json(member.criterion),
+            "StartWindow": {"Start": _side_to_json(member.lower_offset), "End": _side_to_json(member.upper_offset)},
+            "Occurrence": {"Type": kind, "Count": count},
+        })
+    return {"Type": group.mode, "CriteriaList": entries, "Groups": groups}
+
+
+def definition_to_json(definition: CohortDefinition) -> dict:
+    """A definition in the form that ``definition_from_json`` reads."""
+    spec = {
+        "PrimaryCriteria": {
+            "CriteriaList": [_criterion_to_json(c) for c in definition.primary],
+            "ObservationWindow": {"PriorDays": definition.prior_days, "PostDays": definition.post_days},
+            "PrimaryCriteriaLimit": {"Type": definition.primary_limit},
+        },
+        "QualifiedLimit": {"Type": definition.qualified_limit},
+        "ExpressionLimit": {"Type": definition.expression_limit},
+        "InclusionRules": [{"name": r.name, "expression": _group_to_json(r.group)} for r in definition.rules],
+    }
+    if definition.group is not None:
+        spec["AdditionalCriteria"] = _group_to_json(definition.group)
+    return spec

@@ -135,12 +135,35 @@ def windowed_counts(index: DataFrame, days: DataFrame, leaf: Correlated) -> Data
 
 
 def filter_group(index: DataFrame, group: Group, cdm: Cdm, codesets: DataFrame) -> DataFrame:
-    """Index events for which the group holds.
+    """Index events for which the group holds."""
+    columns = index.columns
+    known, (held,) = decide_groups(index, [group], cdm, codesets)
+    return known.filter(held).select(*columns)
+
+
+def group_mask(
+    index: DataFrame, groups: list[Group], cdm: Cdm, codesets: DataFrame, name: str = "mask"
+) -> DataFrame:
+    """Index events with a bit for each group that holds, the first group lowest (63 at most)."""
+    if len(groups) > 63:
+        raise ValueError("more than 63 groups do not fit a mask")
+    columns = index.columns
+    if not groups:
+        return index.withColumn(name, F.lit(0).cast("long"))
+    known, held = decide_groups(index, groups, cdm, codesets)
+    bits = [F.when(truth, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, truth in enumerate(held)]
+    return known.select(*columns, reduce(lambda a, b: a + b, bits).alias(name))
+
+
+def decide_groups(
+    index: DataFrame, groups: list[Group], cdm: Cdm, codesets: DataFrame
+) -> tuple[DataFrame, list[Column]]:
+    """Index events with what decides the groups, and a truth column for each group.
 
     Criteria that differ only in their concept set share one scan, and all criteria decided by the
-    earliest date share one aggregate and one join, whatever the size of the group.
+    earliest date share one aggregate and one join, whatever the number and size of the groups.
     """
-    members = list(leaves(group))
+    members = [leaf for group in groups for leaf in leaves(group)]
     families: dict[Criterion, list[int]] = {}
     for leaf in members:
         family = replace(leaf.criterion, codeset_id=None)
@@ -241,4 +264,4 @@ def filter_group(index: DataFrame, group: Group, cdm: Cdm, codesets: DataFrame)
         parts = [combine(m) if isinstance(m, Group) else truth[next(position)] for m in g.members]
         return reduce(lambda a, b: (a & b) if g.mode == "ALL" else (a | b), parts)
 
-    return index.filter(combine(group)).select(*columns)
+    return index, [combine(group) for group in groups]
