@@ -253,12 +253,17 @@ def complete(study):
 
 
 GRID = K.Grid()
+VIEWS["control_estimates"] = f"""
+    SELECT * FROM total_summary WHERE outcome_id IN ({", ".join(map(str, design.CONTROLS))})"""
 VIEWS["grid_points"] = f"""
-    SELECT i * {GRID.sigma_points} + j AS point,
-           {GRID.mu_low} + i * ({GRID.mu_high} - {GRID.mu_low}) / ({GRID.mu_points} - 1) AS mu,
-           exp(ln({GRID.sigma_low}) + j * (ln({GRID.sigma_high}) - ln({GRID.sigma_low}))
-               / ({GRID.sigma_points} - 1)) AS sigma
-    FROM range({GRID.mu_points}) a(i), range({GRID.sigma_points}) b(j)"""
+    SELECT target_id, comparator_id, i * {GRID.sigma_points} + j AS point,
+           middle + half * (i * (2.0 / ({GRID.mu_points} - 1)) - 1.0) AS mu,
+           exp(ln({GRID.sigma_low}) + j * (ln(high) - ln({GRID.sigma_low})) / ({GRID.sigma_points} - 1)) AS sigma
+    FROM (SELECT target_id, comparator_id, avg(log_rr) AS middle,
+                 {GRID.mu_reach} * sqrt((var_pop(log_rr) + avg(se_log_rr * se_log_rr) + {GRID.sigma_scale**2}) / count(*)) AS half,
+                 greatest({GRID.sigma_high}, {GRID.sigma_reach} * stddev_pop(log_rr)) AS high
+          FROM control_estimates GROUP BY target_id, comparator_id),
+         range({GRID.mu_points}) a(i), range({GRID.sigma_points}) b(j)"""
 VIEWS["posterior"] = f"""
     SELECT analysis_id, target_id, comparator_id, point, mu, sigma,
            weight / sum(weight) OVER (PARTITION BY target_id, comparator_id) AS weight
@@ -270,8 +275,7 @@ VIEWS["posterior"] = f"""
                              / (2 * (sigma * sigma + se_log_rr * se_log_rr)))
                            + ln(any_value(sigma))
                            - pow(any_value(sigma), 2) / (2 * {GRID.sigma_scale**2}) AS loglik
-                FROM total_summary, grid_points
-                WHERE outcome_id IN ({", ".join(map(str, design.CONTROLS))}) GROUP BY ALL))"""
+                FROM control_estimates JOIN grid_points USING (target_id, comparator_id) GROUP BY ALL))"""
 VIEWS["null_model"] = """
     SELECT analysis_id, target_id, comparator_id, sum(weight * mu) AS null_mean,
            1 / sqrt(sum(weight / (sigma * sigma))) AS null_sd

@@ -220,11 +220,28 @@ def test_calibration_hardly_moves_with_the_ends_of_the_grid(frame):
     assert max(got) - min(got) < 0.01
 
 
-def test_a_grid_that_is_too_narrow_fails(frame):
-    controls = [("1", 1, 2, 100 + i, 5.0, 0.1) for i in range(5)]
-    post = K.null_posterior(frame(controls, SUMMARY))
+def test_a_comparison_far_from_zero_has_its_own_grid(frame):
+    rng = np.random.default_rng(3)
+    errors = rng.normal(0, 0.2, 25)
+    near = [("1", 1, 2, 100 + i, float(e), 0.1) for i, e in enumerate(errors)]
+    far = [("1", 3, 2, 100 + i, float(4 + e), 0.1) for i, e in enumerate(errors)]
+    post = K.null_posterior(frame(near + far, SUMMARY))
+    null = {r.target_id: r for r in K.null_distribution(post).collect()}
+    assert null[3].null_mean == pytest.approx(4 + null[1].null_mean, abs=1e-6)
+    assert null[3].null_sd == pytest.approx(null[1].null_sd, abs=1e-6) and 0.1 < null[3].null_sd < 0.3
+    wide = [("1", 5, 2, 100 + i, float(30 * e), 0.1) for i, e in enumerate(errors)]
+    assert K.null_distribution(K.null_posterior(frame(wide, SUMMARY))).first().null_sd > 1
+    few = [("1", 6, 2, 100 + i, 0.1 * i, 0.05) for i in range(2)]
+    assert K.null_distribution(K.null_posterior(frame(few, SUMMARY))).count() == 1
+
+
+@pytest.mark.parametrize("column", ["null_mean", "null_sd"])
+def test_a_grid_that_is_too_narrow_fails(frame, column):
+    controls = [("1", 1, 2, 100 + i, 0.1 * i, 0.1) for i in range(5)]
+    grid = K.Grid(mu_reach=0.01)
+    post = K.null_posterior(frame(controls, SUMMARY), grid)
     with pytest.raises(Exception, match="edge of the grid"):
-        K.null_distribution(post).collect()
+        K.null_distribution(post, grid).select(column).collect()
 
 
 def test_complete_cases_and_rates(frame):

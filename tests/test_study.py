@@ -230,6 +230,25 @@ def test_propensity_without_covariates_and_unconverged(frame):
     assert not fits.first().converged
 
 
+@pytest.mark.parametrize("outcomes", [1, 12])
+def test_covariates_meet_each_entry_once(frame, outcomes):
+    """Rows out of the covariate join are the covariate table's, and sums by pattern are few, whatever
+    the number of outcomes."""
+    _, treated, pop, cov = model_rows(frame, 120)
+    rows = pop.drop("outcome_id").crossJoin(frame([(o,) for o in range(outcomes)], "outcome_id long"))
+    rows = rows.filter((F.col("subject_id") % 5 != 0) | (F.col("outcome_id") % 2 == 0))
+    sums = PS.covariate_sums(rows.select(*P.MODEL, *P.ROW), cov, [])
+    joined = cov.join(PS.entry_of(rows).select(*PS.ENTRY).distinct(), PS.ENTRY).count()
+    assert joined == cov.count()
+    got = {(r.outcome_id, r.treatment, r.covariate_id): (r.x, r.xx) for r in sums.collect()}
+    want = {}
+    for r in PS.entry_of(rows).join(cov, PS.ENTRY).collect():
+        k = (r.outcome_id, r.treatment, r.covariate_id)
+        old = want.get(k, (0.0, 0.0))
+        want[k] = old[0] + r.covariate_value, old[1] + r.covariate_value**2
+    assert got == want
+
+
 def test_correlation_and_guard(frame):
     x, treated, pop, cov = model_rows(frame)
     got = {r.covariate_id: r.correlation for r in PS.treatment_correlation(pop, cov).collect()}
