@@ -71,6 +71,21 @@ def chads2vasc(study):
     )
 
 
+#: Grades of the complication score by concept set, and the values of measurements that count as evidence.
+GRADES = {501: (1, 1), 502: (1, 2), 504: (2, 1), 505: (2, 2), 506: (3, 1)}
+LIMITS = ((2, 1, 2, None, 95.0), (3, 2, 3, None, 120.0), (3, 1, 1, 2.0, 150.0), (4, 1, 4, 1.0, None))
+
+
+def complications(study):
+    spark = study.spark
+    graded = spark.createDataFrame([(s, *g) for s, g in GRADES.items()], "codeset_id int, category_id int, grade int")
+    limits = spark.createDataFrame(LIMITS, "category_id int, grade int, concept_id long, low double, high double")
+    grades = design.codesets(study).join(F.broadcast(graded), "codeset_id").select("category_id", "grade", "concept_id")
+    return S.graded_score(
+        entries(study), study.cdm["condition_era"], grades, study.cdm["measurement"], limits
+    )
+
+
 def charlson_like(study):
     return S.weighted_score(
         entries(study),
@@ -117,6 +132,22 @@ VIEWS["charlson"] = """
     GROUP BY a.cohort_definition_id, a.subject_id"""
 
 
+VIEWS["complications"] = f"""
+    WITH evidence AS (
+      SELECT a.cohort_definition_id, a.subject_id, g.category, g.grade
+      FROM arms a JOIN condition_era e ON e.person_id = a.subject_id AND e.condition_era_start_date <= a.cohort_start_date
+      JOIN codesets k ON k.concept_id = e.condition_concept_id
+      JOIN (VALUES {", ".join(f"({s}, {c}, {g})" for s, (c, g) in GRADES.items())}) g(codeset, category, grade) ON g.codeset = k.codeset_id
+      UNION ALL
+      SELECT a.cohort_definition_id, a.subject_id, l.category, l.grade
+      FROM arms a JOIN measurement m ON m.person_id = a.subject_id AND m.measurement_date <= a.cohort_start_date
+      JOIN (VALUES {", ".join(f"({c}, {g}, {k}, {'NULL' if lo is None else lo}::DOUBLE, {'NULL' if hi is None else hi}::DOUBLE)"
+                              for c, g, k, lo, hi in LIMITS)}) l(category, grade, concept, low, high)
+        ON l.concept = m.measurement_concept_id AND (m.value_as_number < l.low OR m.value_as_number > l.high))
+    SELECT cohort_definition_id, subject_id, CAST(sum(grade) AS BIGINT) AS score
+    FROM (SELECT cohort_definition_id, subject_id, category, max(grade) AS grade FROM evidence GROUP BY ALL) GROUP BY ALL"""
+
+
 @query("f3_chads2", "SELECT * FROM chads2")
 def chads2_query(study):
     return chads2(study)
@@ -132,6 +163,11 @@ def weighted_query(study):
     return charlson_like(study)
 
 
+@query("f5_graded_score", "SELECT * FROM complications")
+def graded_query(study):
+    return complications(study)
+
+
 def first_diagnosis(study):
     dated = H.domain_records(study.cdm, ["condition"])
     wanted = design.codesets(study).filter("codeset_id = 29")
@@ -371,6 +407,7 @@ VIEWS["x_scores"] = f"""
     SELECT DISTINCT {ENTRY}, CAST(analysis AS BIGINT) AS covariate_id,
            CAST(score AS DOUBLE) AS covariate_value
     FROM arms JOIN (SELECT *, {A["charlson"]} AS analysis FROM charlson
+                    UNION ALL SELECT *, {A["dcsi"]} FROM complications
                     UNION ALL SELECT *, {A["chads2"]} FROM chads2
                     UNION ALL SELECT *, {A["chads2vasc"]} FROM chads2vasc)
          USING (cohort_definition_id, subject_id) WHERE score <> 0"""
@@ -391,7 +428,8 @@ def group_concepts(study):
 
 def scores_by_name(study):
     return {
-        "charlson": charlson_like(study), "chads2": chads2(study), "chads2vasc": chads2vasc(study),
+        "charlson": charlson_like(study), "dcsi": complications(study), "chads2": chads2(study),
+        "chads2vasc": chads2vasc(study),
     }
 
 

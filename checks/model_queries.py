@@ -5,16 +5,19 @@ import math
 from pyspark.sql import functions as F
 
 from checks import design
-from checks.feature_queries import covariates
+from checks.feature_queries import covariates, group_concepts, scores_by_name
 from checks.registry import VIEWS, query
 from checks.study_queries import (
     MATCH_SQL,
     MODEL,
     MODEL_SQL,
+    PRIOR_VARIANCE,
     SCORE_SQL,
     cell_scores,
     control_population,
     exact_matched,
+    grid,
+    outcome_rows,
     six,
     six_sql,
 )
@@ -27,6 +30,7 @@ from twinarm.operators import families as X
 from twinarm.operators.cox import TREATMENT, cox_fits, cox_grid, cox_pairs, pair_counts
 from twinarm.operators.families import ENTRY
 from twinarm.operators.propensity import entry_of
+from twinarm.plans.study import StudySettings, run_study
 
 NAMES = (
     (1, "[Tag-1] Procedure arm A"),
@@ -229,6 +233,57 @@ def summary(study):
     return six(outcome_summary(study), ESTIMATE)
 
 
+VIEWS["control_entered"] = f"""
+    SELECT target_id, comparator_id, CAST(o AS BIGINT) AS outcome_id,
+           CASE WHEN cohort_definition_id = target_id THEN 1 ELSE 0 END AS treatment, subject_id
+    FROM comparisons, (VALUES {", ".join(f"({o})" for o in design.CONTROLS)}) AS v(o), arms
+    WHERE cohort_definition_id IN (target_id, comparator_id)"""
+EVERYONE = " UNION ALL BY NAME ".join(
+    f"""SELECT {MODEL_SQL}, treatment, subject_id, 0 AS step FROM {part}entered
+        UNION ALL BY NAME SELECT {MODEL_SQL}, treatment, subject_id, CASE WHEN prior_outcome THEN 1 WHEN time_at_risk < 1 THEN 2 ELSE 3 END AS step
+        FROM {part}windowed"""
+    for part in ("", "control_")
+)
+#: Concept sets that decide the arms, and a variance in place of the search, which p6_propensity makes.
+ARM_SETS, WHOLE = (20, 28, 35), StudySettings(propensity={"variance": PRIOR_VARIANCE})
+
+
+@query(
+    "m3_whole_study",
+    f"""SELECT {MODEL_SQL}, treatment, count(*) AS entered, count(*) FILTER (last >= 1) AS in_one_arm,
+               count(*) FILTER (last >= 2) AS no_earlier_outcome, count(*) FILTER (last >= 3) AS at_risk,
+               true AS matched_evenly, true AS calibrated
+        FROM (SELECT {MODEL_SQL}, treatment, subject_id, max(step) AS last FROM ({EVERYONE}) GROUP BY ALL) GROUP BY ALL""",
+)
+def whole_study(study):
+    """From cohorts to calibrated estimates in one call, with its own covariates, scores and controls. SQL tells
+    the attrition of every model and arm; that both arms of a match are equally large and not larger than the
+    smaller one before; and that each complete estimate, the outcomes' included, has its calibrated p."""
+    ids = design.items(study).filter(F.col("codeset_id").isin(*ARM_SETS)).select("concept_id")
+    found = run_study(
+        study.cdm, design.arms(study), outcome_rows(study), grid(study), design.control_ids(study),
+        group_concepts(study), scores_by_name(study), ids, WHOLE,
+    )
+    steps = found.outcomes.attrition.unionByName(found.controls.attrition)
+    left = steps.groupBy(*MODEL, "treatment").agg(
+        *[F.sum(F.when(F.col("step") == i, F.col("subjects"))).alias(n)
+          for i, n in enumerate(("entered", "in_one_arm", "no_earlier_outcome", "at_risk", "matched"))]
+    )
+    arm = F.col("treatment") == 1
+    sides = left.groupBy(*MODEL).agg(
+        F.max(F.when(arm, F.col("matched"))).alias("one"), F.max(F.when(~arm, F.col("matched"))).alias("other"),
+        F.min("at_risk").alias("most"),
+    )
+    even = sides.select(*MODEL, ((F.col("one") == F.col("other")) & (F.col("one") <= F.col("most"))).alias("matched_evenly"))
+    complete = S.complete_cases(S.stack_summaries(found.controls.summary, found.outcomes.summary)).select(*MODEL, F.lit(True).alias("told"))
+    done = found.estimates.filter("calibrated_p BETWEEN calibrated_p_lb95ci AND calibrated_p_ub95ci AND calibrated_p BETWEEN 0 AND 1")
+    return (
+        left.drop("matched").join(even, MODEL).join(complete, MODEL, "left")
+        .join(done.select(*MODEL, F.lit(True).alias("done")), MODEL, "left")
+        .withColumn("calibrated", F.col("told").eqNullSafe(F.col("done"))).drop("told", "done")
+    )
+
+
 @query("m4_control_summary", f"SELECT {SUMMARY_SQL} FROM control_summary")
 def controls(study):
     return six(control_summary(study), ESTIMATE)

@@ -45,6 +45,40 @@ def test_scores(frame):
     assert run((), include_zero=True) == {1: 0, 2: 0, 3: 3, 4: 0, 5: 0}
 
 
+def test_highest_grade_of_each_category_counts(frame):
+    cohort = frame([(1, p, "2000-06-01", "2001-01-01") for p in range(1, 8)] + [(2, 1, "1999-03-01", "2001-01-01")], COHORT)
+    eras = frame(
+        [
+            (1, 10, "1999-01-01"), (1, 11, "1999-06-01"), (1, 11, "1999-07-01"),  # both grades of one category
+            (2, 10, "2000-06-01"), (2, 12, "1990-01-01"),  # two categories, one on index
+            (3, 11, "2000-06-02"),  # after index
+            (4, 10, "1999-01-01"),  # a laboratory value of the same category raises it
+            (5, 99, "1999-01-01"),  # unrelated
+        ],
+        ERAS,
+    )
+    grades = frame([(1, 1, 10), (1, 2, 11), (2, 1, 12)], "category_id int, grade int, concept_id long")
+    measured = frame(
+        [
+            (4, 70, "1999-01-01", 9.5),
+            (5, 70, "1999-01-01", 9.0), (5, 71, "1999-01-01", 5.0),  # on the limit; below the other one
+            (6, 70, "1999-01-01", None), (6, 70, "1999-01-01", float("nan")), (6, 71, "1999-01-01", 6.0),
+            (7, 70, "2000-06-02", 99.0),  # after index
+        ],
+        "person_id long, measurement_concept_id long, measurement_date date, value_as_number double",
+    )
+    limits = frame([(1, 2, 70, None, 9.0), (3, 1, 71, 6.0, 8.0)],
+                   "category_id int, grade int, concept_id long, low double, high double")
+
+    def run(*more):
+        return {(r.cohort_definition_id, r.subject_id): r.score for r in S.graded_score(cohort, eras, grades, *more).collect()}
+
+    assert run() == {(1, 1): 2, (2, 1): 1, (1, 2): 2, (1, 4): 1}
+    assert run(measured, limits) == {(1, 1): 2, (2, 1): 1, (1, 2): 2, (1, 4): 2, (1, 5): 1}
+    assert run(measured.limit(0), limits.limit(0)) == run()
+    assert S.graded_score(cohort, eras.limit(0), grades, measured.limit(0), limits).count() == 0
+
+
 def test_days_and_flags(frame):
     cohort = frame(
         [(1, 1, "2000-01-01", "2002-01-01"), (1, 1, "2000-03-01", "2002-01-01"), (1, 2, "2000-01-01", "2002-01-01")],

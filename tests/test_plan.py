@@ -30,10 +30,12 @@ def test_whole_study(spark, tmp_path):
 
     main = run(study_queries.outcome_rows(study), design.OUTCOMES, "main")
     controls = run(design.control_cohorts(study), design.CONTROLS, "controls")
-    assert sorted(os.listdir(tmp_path / "main")) == ["balance", "matched", "population", "ps", "summary"]
+    assert sorted(os.listdir(tmp_path / "main")) == ["attrition", "balance", "matched", "population", "ps", "summary"]
     kept = main.matched.groupBy(*MODEL).agg(
         F.count("*").alias("n"), F.count_distinct("stratum_id").alias("s")
     )
     assert kept.count() > 0 and kept.filter("n <> 2 * s").isEmpty()
+    steps = main.attrition.groupBy(*MODEL, "treatment").pivot("step", [0, 1, 2, 3, 4]).agg(F.first("subjects")).collect()
+    assert steps and all(r["0"] >= r["1"] >= r["2"] >= r["3"] >= r["4"] > 0 for r in steps)
     total = calibrated_summary(main.summary, controls.summary, design.control_ids(study)).collect()
     assert all(0 <= r.calibrated_p <= 1 for r in total)

@@ -141,7 +141,10 @@ def study_population(
     min_days_at_risk: int = 1,
     **window: int,
 ) -> DataFrame:
-    rows = with_outcomes(pairs, grid, outcomes, **window)
-    if remove_prior_outcome:
-        rows = rows.filter(~F.col("prior_outcome"))
+    return at_risk(with_outcomes(pairs, grid, outcomes, **window), remove_prior_outcome, min_days_at_risk)
+
+
+def at_risk(judged: DataFrame, remove_prior_outcome: bool = True, min_days_at_risk: int = 1) -> DataFrame:
+    """The study population among entries that ``with_outcomes`` has judged."""
+    rows = judged.filter(~F.col("prior_outcome")) if remove_prior_outcome else judged
     return rows.filter(F.col("time_at_risk") >= min_days_at_risk).drop("prior_outcome")

@@ -1,4 +1,4 @@
-"""Weighted-category risk scores at index."""
+"""Weighted and graded risk scores at index."""
 
 from __future__ import annotations
 
@@ -127,3 +127,45 @@ def weighted_score(
         .groupBy(*keys)
         .agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("score"))
     )
+
+
+def _first_days(records: DataFrame, day: str) -> DataFrame:
+    return records.groupBy("person_id", "category_id", "grade").agg(F.min(day).alias("first_day"))
+
+
+def graded_score(
+    cohort: DataFrame,
+    eras: DataFrame,
+    grades: DataFrame,
+    measurements: DataFrame | None = None,
+    limits: DataFrame | None = None,
+) -> DataFrame:
+    """Sum over categories of the highest grade a subject has reached on or before index.
+
+    ``grades`` (``category_id, grade, concept_id``) takes condition eras as evidence. ``limits``
+    (``category_id, grade, concept_id, low, high``) takes measurements whose value lies below ``low`` or
+    above ``high``; a null bound sets none, a record without a value reaches nothing. Both are the
+    caller's lists. A lower grade adds nothing to a higher one of its category, whichever kind of
+    evidence it comes from. Subjects without evidence are absent.
+
+    Records shrink to one first day per person, category and grade before they meet the cohort.
+    """
+    keys = ["cohort_definition_id", "subject_id"]
+    entries = cohort.select(*keys, "cohort_start_date").distinct()
+    tagged = near_index(entries, eras, "condition_era_start_date").join(
+        small_side(grades), F.col("condition_concept_id") == F.col("concept_id")
+    )
+    days = _first_days(tagged, "condition_era_start_date")
+    if limits is not None:
+        value = F.col("value_as_number")
+        beyond = near_index(entries, measurements, "measurement_date").join(
+            small_side(limits),
+            (F.col("measurement_concept_id") == F.col("concept_id"))
+            & ((value < F.col("low")) | ((value > F.col("high")) & ~F.isnan(value))),
+        )
+        days = days.unionByName(_first_days(beyond, "measurement_date"))
+    reached = entries.join(
+        days, (F.col("subject_id") == F.col("person_id")) & (F.col("first_day") <= F.col("cohort_start_date"))
+    )
+    highest = reached.groupBy(*keys, "category_id").agg(F.max("grade").alias("grade"))
+    return highest.groupBy(*keys).agg(F.sum("grade").cast("long").alias("score"))
