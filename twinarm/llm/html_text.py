@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -28,12 +29,8 @@ EPOCHS, RATE, BATCH, SPAN = 14, 0.02, 24, 120
 
 #: Elements whose content is no markup: they end at their own end tag alone, or with the page.
 _RAW = frozenset("script style title textarea iframe".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S,
-)
+_OPENING = re.compile(r"<(?:(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)|!--|[!?/])")
+_MARK = re.compile("[>\"']")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in _RAW}
 #: In SVG and MathML these elements are like others; their text is left out up to the end of the picture at most.
 _INNER_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|(?=</(?:svg|math)[\s/>])", re.I) for tag in _RAW}
@@ -51,6 +48,58 @@ _FOREIGN = {"svg": True, "math": True, "foreignobject": False, "desc": False, "a
 _BREAK_OUT = frozenset("b big br code em embed i img meta nobr ruby s small span strike strong sub sup tt u var".split())
 
 
+class _Tokens:
+    """Tags, comments and declarations of a page, one after another, in time that grows with its length.
+
+    A tag ends at the next ">" outside quotes or, where quotes leave none, at the next ">" whatever they
+    say; a comment at its "-->" or with the page. A "<" with no ">" behind it begins nothing.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.ends: dict[int, int] = {}  # of places already passed, outside quotes
+
+    def _unquoted(self, at: int) -> int:
+        page, passed, end = self.page, [], -1
+        while m := _MARK.search(page, at):
+            at = m.start()
+            if at in self.ends:
+                end = self.ends[at]
+                break
+            passed.append(at)
+            if page[at] == ">":
+                end = at
+                break
+            closing = page.find(page[at], at + 1)
+            if closing < 0:
+                break
+            at = closing + 1
+        self.ends.update(dict.fromkeys(passed, end))
+        return end
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start and end of the first token from ``at`` on, "/" of an end tag, name (empty for no tag) and
+        attributes; None where only text is left."""
+        page = self.page
+        begin = page.find("<", at)
+        if begin < 0:
+            return None
+        m = _OPENING.search(page, begin, self.last + 1) if begin < self.last else None
+        if m is None or m.start() > self.last:
+            start = page.find("<!--", begin)
+            return None if start < 0 else (start, len(page), "", "", "")
+        start = m.start()
+        if m["tag"]:
+            end = self._unquoted(m.end())
+            if end < 0:
+                end = page.find(">", m.end())
+            return start, end + 1, m["close"], m["tag"].lower(), page[m.end() : end]
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            return start, len(page) if end < 0 else end + 3, "", "", ""
+        return start, page.find(">", m.end()) + 1, "", "", ""
+
+
 class Block(NamedTuple):
     path: tuple[str, ...]
     text: str
@@ -66,6 +115,7 @@ def blocks(page: str | None) -> list[Block]:
     linked = links = 0
     path: tuple[str, ...] = ()
     held: list[tuple] = []  # what was being read where an element of _APART began
+    opened: Counter[str] = Counter()
     unclosed: set[str] = set()  # raw elements in a picture without an end in the rest of the page
 
     def end() -> None:
@@ -98,18 +148,19 @@ def blocks(page: str | None) -> list[Block]:
             _, out, parts, after, linked, path = held.pop()
             (after if parts else out).extend(inner)
         links -= sum(tag == "a" for tag, _, _ in stack[to:])
+        opened.subtract(tag for tag, _, _ in stack[to:])
         del stack[to:]
 
     page, at = page or "", 0
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    tokens = _Tokens(page)
+    while token := tokens.next(at):
+        start, ended, close, tag, attrs = token
+        add(page[at:start])
+        at = ended
+        if not tag:
             continue
-        tag = tag.lower()
         foreign = bool(stack) and stack[-1][2]
-        if foreign and not m["close"] and (tag in _BLOCKS or tag in _BREAK_OUT):
+        if foreign and not close and (tag in _BLOCKS or tag in _BREAK_OUT):
             to = len(stack) - 1
             while to and stack[to - 1][2]:
                 to -= 1
@@ -121,14 +172,14 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in _BLOCKS:
             end()
-        if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
+        if close:
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     pop(i)
                     if tag in _BLOCKS:
                         end()
                     break
-        elif (foreign or tag in ("svg", "math")) and m["attrs"].endswith("/"):
+        elif (foreign or tag in ("svg", "math")) and attrs.endswith("/"):
             continue
         elif tag in _RAW:
             closing = None if tag in unclosed else (_INNER_END if foreign else _RAW_END)[tag].search(page, at)
@@ -137,7 +188,7 @@ def blocks(page: str | None) -> list[Block]:
             else:
                 unclosed.add(tag)
         elif tag not in _VOID:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if tag in _BLOCKS or tag in _SAME else ():
                 open_tag = stack[i][0]
                 if tag in _BLOCKS and open_tag == "p" or open_tag in (tag, _SAME.get(tag)) and tag in _SAME:
                     pop(i)
@@ -145,13 +196,14 @@ def blocks(page: str | None) -> list[Block]:
                 if open_tag in _APART or open_tag in _BLOCKS and open_tag != "p":
                     break
             names = [tag]
-            if m["attrs"]:
-                for value in _NAMED.findall(m["attrs"]):
+            if attrs:
+                for value in _NAMED.findall(attrs):
                     names += ["." + w for w in re.findall(r"[a-z]+", value.lower())]
             if tag in _APART:
                 held.append((len(stack), out, parts, after, linked, path))
                 out, parts, after, linked = [], [], [], 0
             links += tag == "a"
+            opened[tag] += 1
             stack.append((tag, tuple(names), _FOREIGN.get(tag, foreign)))
     # A "<" that begins nothing is text.
     add(page[at:])
