@@ -212,7 +212,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                            F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key")).where("y in (0, 1)")
     n = rows.count()
     share = int(min(1.0, sample / max(1, n)) * (1 << 30))
-    picked = rows.where(F.pmod("key", F.lit(1 << 30)) < share).select("text", "y")
+    # Repeated rows share a key: one of them teaches what all of them do, and the sample stays bounded.
+    picked = rows.where(F.pmod("key", F.lit(1 << 30)) < share).dropDuplicates(["key", "y"]).select("text", "y")
     found = picked.mapInArrow(_features, "y int, x array<double>").toArrow()
     x = np.array(found.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES)) if found.num_rows else np.zeros((0, len(FEATURES)))
     y = found.column("y").to_numpy().astype(float)

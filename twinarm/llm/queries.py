@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinarm.llm.storage import read_table
+from twinarm.llm.storage import read_table, stage
+from twinarm.session import small_side
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,12 +167,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame):
-    """Labels of an id that is null or labelled both ways teach nothing."""
-    from twinarm.llm.quality import train
+    """Labels of an id that is null or labelled both ways teach nothing.
+
+    Ids are sampled before any text is read: only ids are shuffled, and the about ``SAMPLE`` labels that are
+    left meet the texts where these are."""
+    from twinarm.llm.quality import SAMPLE, train
 
     judged = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     open_docs = docs.select("doc_id", "text").where(_fold(4) != 2)
-    return train(open_docs.join(judged.select("doc_id", "quality"), "doc_id"))
+    known = stage(judged.where("quality in (0, 1)").join(open_docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality"))
+    share = int(min(1.0, SAMPLE / max(1, known.count())) * (1 << 30))
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    return train(open_docs.join(small_side(picked, 2 * SAMPLE), "doc_id"))
 
 
 @query()
