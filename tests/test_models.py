@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from twinarm.operators import survival as R
 from twinarm.operators import table1 as T
 from twinarm.operators.cox import TREATMENT, cox, cox_grid, cox_pairs, packed_strata
 from twinarm.operators.cox import _adder as cox_adder
+from twinarm.operators.cox import _Strata, penalized_step
 from twinarm.operators.logistic import SUMS
 
 POP = "target_id long, comparator_id long, outcome_id long, treatment int, subject_id long, " \
@@ -278,3 +280,32 @@ def test_table1_signs_empty_arm_and_constant_score(frame):
     only = frame([(1, 1, 1)], "treatment int, score int, after_match int")
     line = T.count_block(only, []).first()
     assert line.t_before_pct == 100.0 and line.c_before_pct is None
+
+
+def test_strata_whose_subjects_differ_beyond_an_exponential():
+    """The subject with the later event lags the other by 2000 on the log scale: its risk set is itself."""
+    batch = pa.RecordBatch.from_pydict({
+        "time": [[9, 5]], "event": [[1, 1]], "treatment": [[0, 1]], "widths": [[1, 1]],
+        "positions": [[1, 2]], "values": [[1.0, 1.0]],
+    })
+    strata = _Strata(batch)
+    strata.evaluate(np.array([0.0, -1000.0, 1000.0]))
+    assert strata.loss == pytest.approx(0.0) and np.allclose(strata.residual, 0.0) and strata.told() == (1.0, 0.0)
+    assert np.allclose(strata.information(np.array([0, 1, 2])), 0.0)
+    strata.evaluate(np.array([0.0, 1000.0, -1000.0]))
+    assert strata.loss == pytest.approx(2000.0) and np.allclose(strata.residual, [[1.0, -1.0]])
+
+
+def test_penalized_step_goes_downhill_where_covariates_repeat():
+    """More covariates than rows, three of them alike: the step meets the conditions of its own problem."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 30))
+    x[:, 8] = x[:, 9] = x[:, 7]
+    matrix, beta = x.T @ x, np.where(rng.random(30) < 0.4, rng.normal(size=30), 0.0)
+    slope = x.T @ rng.normal(size=12) * 3
+    step = penalized_step(matrix, slope, beta, 0.8)
+    weight = np.array([0.0] + [0.8] * 29)
+    to, own = beta + step, slope + matrix @ step
+    away = np.where(to != 0, np.abs(own + weight * np.sign(to)), np.maximum(np.abs(own) - weight, 0))
+    assert away.max() < 1e-3 and np.abs(step).max() < 100
+    assert slope @ step + step @ own / 2 - slope @ step / 2 + weight @ np.abs(to) < weight @ np.abs(beta)
