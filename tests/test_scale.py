@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from checks import registry
+from twinarm import session
 from twinarm.operators.events import in_observation
 from twinarm.operators.families import _daily, _windowed
 from twinarm.session import small_side
@@ -80,3 +82,22 @@ def test_small_side_broadcasts_only_below_its_bound(spark):
         {"spark.sql.autoBroadcastJoinThreshold": "-1"},
         check,
     )
+
+
+def test_shuffles_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    """A task takes no more rows because the tables are larger: ten times the rows, ten times the partitions."""
+    named, asked = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small, large = (str(tmp_path / f"{n}.parquet") for n in ("small", "large"))
+    spark.range(20_000).coalesce(1).write.parquet(small)
+    spark.range(200_000).repartition(3).write.parquet(large)
+    monkeypatch.setattr(session, "PARTITION_BYTES", 10_000)
+    assert session.partitions_for(spark, [small]) >= asked
+    assert session.partitions_for(spark, [large]) > 4 * session.partitions_for(spark, [small])
+    before = spark.conf.get(named, None)
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.delitem(registry._STUDIES, (spark.sparkContext.applicationId, folder), raising=False)
+    try:
+        assert registry.study_for(spark, folder).partitions == int(spark.conf.get(named)) > asked
+    finally:
+        spark.conf.unset(named) if before is None else spark.conf.set(named, before)
+        registry._STUDIES.pop((spark.sparkContext.applicationId, folder), None)
