@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -130,6 +131,24 @@ def test_matching_ratio_and_strata(frame):
     assert one.filter("treatment = 1").count() == len(strata)
 
 
+def test_matching_plans_do_not_grow_with_the_rounds(frame, monkeypatch):
+    """Ever smaller gaps take a round per link; the size that Spark assumes for what is left must not multiply."""
+    at, groups = 0, []
+    for i in range(16):
+        groups.append((1, i % 2, at, 1, 10**9))
+        at += 1000 - 20 * i
+    assumed, plain = [], M._round
+
+    def seen(state, keys):
+        assumed.append(state._jdf.queryExecution().optimizedPlan().stats().simpleString())
+        return plain(state, keys)
+
+    monkeypatch.setattr(M, "_round", seen)
+    pairs = M.match_groups(frame(groups, "m int, treatment int, score long, size long, width long"), ["m"])
+    assert pairs.count() == 8 and len(assumed) > 6
+    assert all(re.match(r"sizeInBytes=[0-9.]+ (B|KiB)\b", s) for s in assumed)
+
+
 def test_empty_arm_matches_nothing(frame):
     data = frame([(1, 1, i, "2000-01-01", 0.5) for i in range(4)], SCORED)
     assert M.match(data, ["m"]).isEmpty()
