@@ -3,6 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import design
+from checks.adapter import retail_cdm
+from checks.registry import Study
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,6 +22,37 @@ def without_broadcasts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_eras_are_dealt_once(spark):
+    for domain in ("drug_era", "condition_era"):
+        assert shuffles(retail_cdm(spark, SF)[domain], "person_id") == 1
+
+
+def test_stored_records_hold_no_derived_ids(spark):
+    kept = {}
+
+    def stage(name, build, by):
+        kept[name] = build()
+        return kept[name]
+
+    known = retail_cdm(spark, SF, stage)["procedure_occurrence"]
+    assert not {"occ_id", "concept_id", "visit_occurrence_id"} & set(kept["records"].columns)
+    assert known.filter("procedure_occurrence_id is null or procedure_concept_id is null").count() == 0
+
+
+def test_cohorts_are_one_stage(spark):
+    names = []
+
+    class Listed(Study):
+        def stage(self, name, build):
+            names.append(name)
+            return super().stage(name, build)
+
+    found = design.cohorts(Listed(spark, SF))
+    assert [n for n in names if n.startswith("cohort")] == ["cohorts"]
+    ids = {r[0] for r in found.select("cohort_definition_id").distinct().collect()}
+    assert ids <= set(design.DEFINITIONS) and len(ids) > 1
+
+
 def test_a_union_does_not_count_as_partitioned(without_broadcasts):
     one = without_broadcasts.range(100).select((F.col("id") % 7).alias("k"))
     both = one.repartition(4, "k").unionByName(one.repartition(4, "k")).groupBy("k").count()
