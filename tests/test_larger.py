@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from checks import design
 from checks.adapter import retail_cdm
 from checks.registry import Study
+from twinarm.operators import events, families
+from twinarm.sources.cdm import Cdm
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +24,44 @@ def without_broadcasts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_records_are_picked_before_they_meet_their_visits(frame):
+    tables = {
+        "condition_occurrence": frame(
+            [(1, 7, "2000-01-01", 100), (1, 8, "2000-01-01", 101), (2, 7, "2000-01-01", 102), (1, 9, "2000-01-01", None)],
+            "person_id long, condition_concept_id long, condition_start_date date, visit_occurrence_id long",
+        ),
+        # A visit listed twice, one of another type, one of another person.
+        "visit_occurrence": frame(
+            [(100, 1, 9201), (100, 1, 9201), (101, 1, 9202), (102, 2, 9201), (101, 2, 9201)],
+            "visit_occurrence_id long, person_id long, visit_concept_id int",
+        ),
+    }
+    cohort = frame([(1, 1, "2000-01-10")], "cohort_definition_id long, subject_id long, cohort_start_date date")
+    rows = families.inpatient_conditions(cohort, Cdm(tables.__getitem__))
+    assert [(r.covariate_id, r.covariate_value) for r in rows.collect()] == [(7103, 1.0)]
+    assert "LeftSemi" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_events_are_picked_before_they_meet_their_visits(frame):
+    tables = {
+        "condition_occurrence": frame(
+            [(i, 1, 7, "2000-01-01", None, 5, 100 + i) for i in range(3)],
+            "condition_occurrence_id long, person_id long, condition_concept_id long, condition_start_date date, "
+            "condition_end_date date, condition_type_concept_id int, visit_occurrence_id long",
+        ),
+        "visit_occurrence": frame(
+            [(100, 1, 9201), (100, 1, 9203), (101, 1, 9202)],
+            "visit_occurrence_id long, person_id long, visit_concept_id int",
+        ),
+    }
+    codesets = frame([(4, 7)], "codeset_id int, concept_id long")
+    found = events.domain_events(
+        Cdm(tables.__getitem__), codesets, "condition_occurrence", [4], visit_types=(9201, 9203)
+    )
+    assert [r.event_id for r in found.collect()] == [0]
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_eras_are_dealt_once(spark):
     for domain in ("drug_era", "condition_era"):
         assert shuffles(retail_cdm(spark, SF)[domain], "person_id") == 1
