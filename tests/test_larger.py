@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from checks import design
+from checks import design, study_queries
 from checks.adapter import retail_cdm
 from checks.registry import Study
-from twinarm.operators import events, families
+from twinarm.operators import events, families, matching
 from twinarm.sources.cdm import Cdm
 
 SF = "/root/testdata/sf0.001"
@@ -93,6 +93,17 @@ def test_cohorts_are_one_stage(spark):
     assert ids <= set(design.DEFINITIONS) and len(ids) > 1
 
 
+def test_rows_stay_in_place_for_a_value_of_each_model(without_broadcasts, frame):
+    rows = frame(
+        [(1, 3, 11, i % 2, i, "2000-01-01", i / 10) for i in range(8)],
+        "target_id long, comparator_id long, outcome_id long, treatment int, subject_id long, "
+        "cohort_start_date date, ps double",
+    )
+    assert shuffles(matching._scored(rows, study_queries.MODEL, 0.2, "standardized"), "target_id") == 1
+    scored = study_queries.cell_scores(Study(without_broadcasts, SF), rows.drop("ps"))
+    assert shuffles(scored, "target_id") == 1
+
+
 def test_a_union_does_not_count_as_partitioned(without_broadcasts):
     one = without_broadcasts.range(100).select((F.col("id") % 7).alias("k"))
     both = one.repartition(4, "k").unionByName(one.repartition(4, "k")).groupBy("k").count()
