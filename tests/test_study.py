@@ -289,3 +289,31 @@ def test_balance_against_numpy_and_of_a_self_match(frame):
     twins = pop.unionByName(pop.withColumn("treatment", 1 - F.col("treatment")))
     both = cov.unionByName(cov.withColumn("cohort_definition_id", 3 - F.col("cohort_definition_id")))
     assert B.balance(twins, twins, both).filter("abs(before_std_diff) > 1e-12").isEmpty()
+
+
+@pytest.mark.parametrize("per_bucket", [200_000, 4])
+def test_settling_ranges_equals_sequential_greedy_in_few_rounds(frame, monkeypatch, per_bucket):
+    monkeypatch.setattr(M, "GROUPS_PER_BUCKET", per_bucket)
+    monkeypatch.setattr(M, "MANY_GROUPS", 0)
+    rounds = []
+    monkeypatch.setattr(M, "_round", lambda state, keys, f=M._round: rounds.append(1) or f(state, keys))
+    rng = random.Random(7)
+    rows, cases, at = [], {}, 10**8
+    for m in range(12):
+        # The last ones are chains of ever smaller gaps, a round per link before.
+        case = [(int(rng.random() < 0.45), m * 1000 + i, round(rng.uniform(0.1, 0.9), 2 + m % 3) * M.SCORE_UNIT) for i in range(rng.randint(2, 40))]
+        if m >= 10:
+            case, at = [], 10**8
+            for i in range(40):
+                case.append((i % 2, m * 1000 + i, at))
+                at += 10**6 - 2 * 10**4 * i
+        cases[m] = [(a, i, round(k)) for a, i, k in case]
+        rows += [(m, a, i, "2000-01-01", k / M.SCORE_UNIT) for a, i, k in cases[m]]
+    got = M.match(frame(rows, SCORED), ["m"], 0.08, "propensity score").collect()
+    for m, case in cases.items():
+        strata = {}
+        for r in got:
+            if r.m == m:
+                strata.setdefault(r.stratum_id, {})[r.treatment] = r.subject_id
+        assert {(s[1], s[0]) for s in strata.values()} == greedy(case, math.floor(0.08 * M.SCORE_UNIT))
+    assert len(rounds) == 0 if per_bucket > 40 else 0 < len(rounds) <= 12
