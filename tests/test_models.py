@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from twinarm.functions.mathx import two_sided_p
 from twinarm.functions.names import display_name, underscored_name
 from twinarm.operators import calibration as K
+from twinarm.operators import cox as X
 from twinarm.operators import summary as S
 from twinarm.operators import survival as R
 from twinarm.operators import table1 as T
@@ -309,3 +311,29 @@ def test_penalized_step_goes_downhill_where_covariates_repeat():
     away = np.where(to != 0, np.abs(own + weight * np.sign(to)), np.maximum(np.abs(own) - weight, 0))
     assert away.max() < 1e-3 and np.abs(step).max() < 100
     assert slope @ step + step @ own / 2 - slope @ step / 2 + weight @ np.abs(to) < weight @ np.abs(beta)
+
+
+def test_newton_steps_share_matrices_and_end_with_their_own(frame, monkeypatch):
+    """Most passes sum no information matrix; the last one does, for the standard error."""
+    rng = random.Random(11)
+    rows, cov = [], []
+    for pair in range(120):
+        for arm in (0, 1):
+            subject = 1000 * arm + pair
+            xs = [c for c in range(12) if rng.random() < 0.2 + 0.05 * c]
+            time = 1 + int(rng.expovariate(0.02 * (1.6 if arm else 1.0) * (1 + 0.8 * (3 in xs) + 0.5 * (7 in xs))))
+            rows.append((1, 2, 3, arm, subject, "2000-01-01", str(pair), time, 1))
+            cov += [(1 if arm else 2, subject, "2000-01-01", 50 + c, 1.0) for c in xs]
+    data = frame(rows, "target_id long, comparator_id long, outcome_id long, treatment int, subject_id long, cohort_start_date date, "
+                       "stratum_id string, survival_time int, outcome_count int")
+    covariates = frame(cov, "cohort_definition_id long, subject_id long, cohort_start_date date, covariate_id long, covariate_value double")
+    seen, summed = [], X.L.summed
+    monkeypatch.setattr(X.L, "summed", lambda r, adder, state: seen.append(isinstance(state[1][2], np.ndarray)) or summed(r, adder, state))
+    monkeypatch.setattr(X, "NEAR", 10.0)
+    shared = X.cox(data, covariates, l1=0.3)[1, 2, 3]
+    asked = [i for i, s in enumerate(seen) if s]
+    assert seen[-1] and len(asked) < len(seen) - asked[0]
+    monkeypatch.setattr(X, "REFRESH", 0)  # a matrix for each step, as before
+    own = X.cox(data, covariates, l1=0.3)[1, 2, 3]
+    assert shared.converged and own.converged and shared.se == pytest.approx(own.se, rel=1e-5)
+    assert all(shared.beta.get(k, 0.0) == pytest.approx(own.beta.get(k, 0.0), abs=1e-4) for k in shared.beta | own.beta)
